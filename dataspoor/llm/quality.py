@@ -94,8 +94,8 @@ def production_rules(text: Column = F.col("text")) -> list[Rule]:
     return [
         Rule("few_words", words < 10, chars * 2),
         Rule("repeats", let(words_of(text), lambda w: n_repeat_words(w) * 100 > F.size(w) * 20), chars * 20),
-        Rule("symbols", n_symbols(text) * 2 > words, chars * 3),
-        Rule("duplicate_lines", n_dup_lines(text) * 10 > F.coalesce(F.size(F.split(text, "\n")), F.lit(0)) * 3, chars),
+        Rule("symbols", n_symbols(text) * 10 > words, chars * 3),
+        Rule("duplicate_lines", n_dup_lines(text) * 2 > F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), chars),
         Rule("word_length", ~(word_chars(text)).between(words * 2, words * 16), chars * 3),
         Rule("few_letters", F.coalesce(letters * 2 < word_chars(text), F.lit(False)), chars * 4),
         Rule("shouting", F.coalesce(upper * 2 > letters, F.lit(False)), chars * 6),
