@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .packing import op9_bin_completion
 from .quality import op5_quality_cascade
 from .sharding import op3_ring_shards
+from .token_store import op8_parquet_tokens
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ring_shards, op5_quality_cascade)}
+    return {f.__name__: f for f in (op3_ring_shards, op5_quality_cascade, op8_parquet_tokens, op9_bin_completion)}
 
 
 def oracle_sql() -> dict[str, str]:
