@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .language import op2_zstd_language
+from .licenses import op10_fuzzy_notices
 from .packing import op9_bin_completion
+from .pieces import op6_merge_dropout
 from .quality import op5_quality_cascade
 from .sharding import op3_ring_shards
 from .token_store import op8_parquet_tokens
 
+_ALL = (op2_zstd_language, op3_ring_shards, op5_quality_cascade, op6_merge_dropout, op8_parquet_tokens, op9_bin_completion, op10_fuzzy_notices)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ring_shards, op5_quality_cascade, op8_parquet_tokens, op9_bin_completion)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
