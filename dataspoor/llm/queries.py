@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .language import op2_zstd_language
 from .licenses import op10_fuzzy_notices
+from .neighbours import op4_permutation_index
 from .packing import op9_bin_completion
 from .pieces import op6_merge_dropout
 from .quality import op5_quality_cascade
 from .sharding import op3_ring_shards
 from .token_store import op8_parquet_tokens
 
-_ALL = (op2_zstd_language, op3_ring_shards, op5_quality_cascade, op6_merge_dropout, op8_parquet_tokens, op9_bin_completion, op10_fuzzy_notices)
+_ALL = (op2_zstd_language, op3_ring_shards, op4_permutation_index, op5_quality_cascade, op6_merge_dropout, op8_parquet_tokens, op9_bin_completion, op10_fuzzy_notices)
 
 
 def queries() -> dict:
