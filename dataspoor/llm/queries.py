@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op2_zstd_language
 from .licenses import op10_fuzzy_notices
+from .line_dedup import op1_suffix_lines
 from .near_dedup import op7_superminhash
 from .neighbours import op4_permutation_index
 from .packing import op9_bin_completion
@@ -12,7 +13,7 @@ from .quality import op5_quality_cascade
 from .sharding import op3_ring_shards
 from .token_store import op8_parquet_tokens
 
-_ALL = (op2_zstd_language, op3_ring_shards, op4_permutation_index, op5_quality_cascade, op6_merge_dropout, op7_superminhash, op8_parquet_tokens, op9_bin_completion, op10_fuzzy_notices)
+_ALL = (op1_suffix_lines, op2_zstd_language, op3_ring_shards, op4_permutation_index, op5_quality_cascade, op6_merge_dropout, op7_superminhash, op8_parquet_tokens, op9_bin_completion, op10_fuzzy_notices)
 
 
 def queries() -> dict:
