@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,17 @@ BLOCK = 384
 #: Word hashes kept per worker.
 ROOM = 500_000
 _COLUMNS = 4096
-_HASHES: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_HASHES = _Hashes()
+#: Odd factors of the words' hashes by place in a shingle.
+_WEIGHTS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)]
 
 
 def _mix(x):
@@ -47,21 +58,18 @@ def _mix(x):
 def shingles(text: str | None):
     """Sorted distinct shingle hashes of a whole text, A-Z lowered; a shorter text is one shingle."""
     import numpy as np
-    import xxhash
 
     words = (text or "").encode().lower().split()
     if len(_HASHES) > ROOM:
         _HASHES.clear()
-    known, digest = _HASHES, xxhash.xxh3_64_intdigest
-    for w in set(words) - known.keys():
-        known[w] = digest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     size = min(WORDS, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - size + 1 + k])
+        out += h[k : len(h) - size + 1 + k] * np.uint64(_WEIGHTS[k])
+    out = _mix(out)
     return np.unique(out)
 
 
