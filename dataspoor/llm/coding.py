@@ -21,8 +21,8 @@ import os
 import re
 from array import array
 
-#: Words kept per worker, some 200 bytes each.
-ROOM = 900_000
+#: Words kept per worker, some 200 bytes each; their pieces, fewer than words, are kept beside them.
+ROOM = 600_000
 _MARK = "\x01"
 _ODD = re.compile(r"[^\S \n]|\s\s|\x01")
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -55,14 +55,17 @@ class Coder:
         tokenize, stand_in, lead, library = self.tokenizer.model.tokenize, _byte_chars(), self.lead, self.library
         pieces = (_LEAD if lead else _BLANK).findall
 
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                self[piece] = out = array("I", [t.id for t in tokenize(piece.encode().decode("latin1").translate(stand_in))]).tobytes()
+                return out
+
+        piece_ids = Pieces().__getitem__
+
         class Known(dict):
             def __missing__(self, unit: str) -> bytes:
                 word = unit.replace(_MARK, " ") if lead else unit
-                if _PLAIN(word):
-                    ids = [t.id for p in pieces(word if lead else word.lower()) for t in tokenize(p.encode().decode("latin1").translate(stand_in))]
-                    self[unit] = out = array("I", ids).tobytes()
-                else:
-                    self[unit] = out = library([word])[0]
+                self[unit] = out = b"".join(map(piece_ids, pieces(word if lead else word.lower()))) if _PLAIN(word) else library([word])[0]
                 return out
 
         return Known({"": b""})
