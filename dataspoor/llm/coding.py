@@ -11,8 +11,8 @@ split there, so the ids equal those of encoding the text in one call:
 
 A word of Latin-1 characters goes to the library's model, split as the
 tokenizer's pattern says; any other word goes through its whole pipeline.
-Ids of words are kept in a table per Python worker that is emptied at ROOM
-entries, so memory is bounded and results never depend on it.
+Ids of words and of their pieces are kept in a table per Python worker that is
+emptied at ROOM entries, so memory is bounded and results never depend on it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import os
 import re
 from array import array
 
-#: Words kept per worker, some 200 bytes each; their pieces, fewer than words, are kept beside them.
-ROOM = 600_000
+#: Words and pieces kept per worker, some 200 bytes each.
+ROOM = 1_300_000
 _MARK = "\x01"
 _ODD = re.compile(r"[^\S \n]|\s\s|\x01")
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
@@ -52,20 +52,28 @@ class Coder:
         self.known = self._table()
 
     def _table(self) -> dict[str, bytes]:
+        """Ids of words and of the pieces of words, in one table."""
         tokenize, stand_in, lead, library = self.tokenizer.model.tokenize, _byte_chars(), self.lead, self.library
-        pieces = (_LEAD if lead else _BLANK).findall
+        find = (_LEAD if lead else _BLANK).findall
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                self[piece] = out = array("I", [t.id for t in tokenize(piece.encode().decode("latin1").translate(stand_in))]).tobytes()
-                return out
+        class Known(dict):
+            def model(self, piece: str) -> bytes:
+                return array("I", [t.id for t in tokenize(piece.encode().decode("latin1").translate(stand_in))]).tobytes()
 
-        piece_ids = Pieces().__getitem__
+            def piece(self, piece: str) -> bytes:
+                unit = piece.replace(" ", _MARK) if lead else piece
+                if unit not in self:
+                    self[unit] = self.model(piece)
+                return self[unit]
 
-        class Known(dict):
             def __missing__(self, unit: str) -> bytes:
                 word = unit.replace(_MARK, " ") if lead else unit
-                self[unit] = out = b"".join(map(piece_ids, pieces(word if lead else word.lower()))) if _PLAIN(word) else library([word])[0]
+                if _PLAIN(word):
+                    pieces = find(word if lead else word.lower())
+                    out = self.model(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
+                else:
+                    out = library([word])[0]
+                self[unit] = out
                 return out
 
         return Known({"": b""})
