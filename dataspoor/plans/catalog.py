@@ -1,4 +1,4 @@
-"""Registry of the engine's published queries: a plan and, where it has one, its SQL twin."""
+"""The engine's published queries."""
 
 from __future__ import annotations
 
@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+from . import analytics, classify, documents, engine, facts, linking, reports, revisions, scalars, topology  # noqa: F401
+from .registry import PLANS, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_PLANS)
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _PLANS["f1_exposure"](spark, sf_dir)
+    return PLANS["f1_exposure"](spark, sf_dir)
