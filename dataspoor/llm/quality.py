@@ -18,7 +18,6 @@ from .common import WORD, let
 
 #: Rows that cost and selectivity are estimated on. Results don't depend on it.
 SAMPLE_ROWS = 1000
-NONE = F.lit(0).cast("long")
 
 
 def words_of(text: Column) -> Column:
@@ -59,7 +58,7 @@ def _covered(hashes: Column) -> Column:
 def n_repeat_words(words: Column) -> Column:
     """words: an array that is at hand as a column or a lambda's variable."""
     window = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])
-    return F.when(F.size(words) < 6, NONE).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(words) - 5), window), _covered).cast("long"))
+    return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(words) - 5), window), _covered).cast("long"))
 
 
 def base_stats(text: Column) -> Column:
@@ -85,19 +84,26 @@ class Rule:
     work: Column
 
 
-def production_rules(text: Column = F.col("text")) -> list[Rule]:
-    """Shares are of whole texts; bounds are loose, so that only plain junk goes."""
+def production_rules(text: Column | None = None, stats: Column | None = None) -> list[Rule]:
+    """Shares are of whole texts; bounds are loose, so that only plain junk goes.
+
+    text: the column of that name by default; stats: base_stats(text) where it is at hand as a column, so that nothing is
+    counted twice.
+    """
+    text = F.col("text") if text is None else text
     chars = F.coalesce(F.char_length(text), F.lit(0))
     letters = F.char_length(F.regexp_replace(text, r"\P{L}+", ""))
     upper = F.char_length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    words = n_words(text)
+    of = (lambda name, count: count(text)) if stats is None else (lambda name, count: stats[name])
+    words, symbols, dups, in_words = of("n_words", n_words), of("n_symbols", n_symbols), of("n_dup_lines", n_dup_lines), of("word_chars", word_chars)
+    repeats = let(words_of(text), lambda w: n_repeat_words(w) * 100 > F.size(w) * 20) if stats is None else stats["n_repeat_words"] * 100 > words * 20
     return [
         Rule("few_words", words < 10, chars * 2),
-        Rule("repeats", let(words_of(text), lambda w: n_repeat_words(w) * 100 > F.size(w) * 20), chars * 20),
-        Rule("symbols", n_symbols(text) * 10 > words, chars * 3),
-        Rule("duplicate_lines", n_dup_lines(text) * 2 > F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), chars),
-        Rule("word_length", ~(word_chars(text)).between(words * 2, words * 16), chars * 3),
-        Rule("few_letters", F.coalesce(letters * 2 < word_chars(text), F.lit(False)), chars * 4),
+        Rule("repeats", repeats, chars * 20),
+        Rule("symbols", symbols * 10 > words, chars * 3),
+        Rule("duplicate_lines", dups * 2 > F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), chars),
+        Rule("word_length", ~in_words.between(words * 2, words * 16), chars * 3),
+        Rule("few_letters", F.coalesce(letters * 2 < in_words, F.lit(False)), chars * 4),
         Rule("shouting", F.coalesce(upper * 2 > letters, F.lit(False)), chars * 6),
     ]
 
@@ -142,7 +148,8 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_row
 def op5_quality_cascade(spark, sf_dir: str) -> DataFrame:
     """Base counts, base_failed and the cascade's verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rest = [r for r in production_rules() if r.name not in ("few_words", "repeats")]
-    counted = docs.select("doc_id", base_stats(F.col("text")).alias("b"), rejected_by(plan_order(docs, rest)).alias("rule"))
+    order = [r.name for r in plan_order(docs, production_rules()) if r.name not in ("few_words", "repeats")]
+    rules = {r.name: r for r in production_rules(F.col("text"), F.col("b"))}
+    counted = docs.withColumn("b", base_stats(F.col("text"))).select("doc_id", "b", rejected_by([rules[n] for n in order]).alias("rule"))
     failed = (F.col("b.n_words") < 10) | (F.col("b.n_repeat_words") * 100 > F.col("b.n_words") * 20)
-    return counted.select("doc_id", "b.*", failed.alias("base_failed"), (~failed & F.col("rule").isNull()).alias("kept"), F.when(failed, F.lit("base")).otherwise(F.col("rule")).alias("rejected_by"))
+    return counted.select("doc_id", "b.*", failed.alias("base_failed"), (~failed & F.col("rule").isNull()).alias("kept"))

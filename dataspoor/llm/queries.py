@@ -7,6 +7,7 @@ from .licenses import op10_fuzzy_notices
 from .line_dedup import op1_suffix_lines
 from .near_dedup import op7_superminhash
 from .neighbours import op4_permutation_index
+from .oracles import LINES, NEAR, QUALITY
 from .packing import op9_bin_completion
 from .pieces import op6_merge_dropout
 from .quality import op5_quality_cascade
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_lines": LINES, "op5_quality_cascade": QUALITY, "op7_superminhash": NEAR}
