@@ -21,6 +21,7 @@ from .coding import small_batches
 #: The sample that dictionaries are made of: rows a language, and characters a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
 DICTIONARY = 192 << 10
+LOTS = 128
 BLOCK = 8 << 10
 LEVEL = 6
 #: Share of the second smallest size that the smallest must lie below it.
@@ -43,8 +44,11 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, s
     """
     seen = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ids = some.select("lang", "doc_id", F.xxhash64("doc_id").alias("key")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("lang", "doc_id").distinct()
+    ids = some.select("lang", "doc_id", F.xxhash64("doc_id").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(LOTS)).alias("lot"))
+    for lot in (["lot"], []):  # a language's rows are first thinned in lots, so that no task ranks a whole language
+        order = Window.partitionBy("lang", *lot).orderBy("key", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).drop("n")
+    ids = ids.select("lang", "doc_id").distinct()
     texts = some.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], str(r["doc_id"]))):

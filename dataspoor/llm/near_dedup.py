@@ -8,21 +8,28 @@
    as soon as its slots are all filled, since later layers can only be larger.
 3. BANDS bands of ROWS slots: classes that share a band are candidates. At a
    similarity of 0.85 all bands differ with a chance below 1e-6.
-4. Candidates hang together in groups (union-find over one edge a class and
-   band, so no pairs are made). A group goes to blocks of BLOCK classes, and each
-   pair of blocks is one piece of work: exact intersections of full sets for
-   all its pairs by matrix products, of which a spanning forest is returned.
-5. Union-find over those verified links gives components.
+4. Stars first: each class is compared with the one class, least (then greatest)
+   of a shared band, that it shares most bands with. A group of near copies, of
+   any size, becomes one component by as many comparisons as it has classes.
+5. Bands that then hold two components or more are open: their classes hang
+   together in groups, a group goes to blocks of BLOCK classes, and each pair of
+   blocks is one piece of work: exact intersections of full sets for all its pairs
+   by matrix products, of which a spanning forest is returned. Blocks of one large
+   component aren't compared with each other.
+6. Union-find over all verified links gives components. A pair that shares a band
+   is either compared or already in one component, so no component is missed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coding import small_batches
-from .common import cut
+from .common import cut, new_path
 from .components import components
 
 WORDS = 5
@@ -34,6 +41,8 @@ BLOCK = 384
 #: Word hashes kept per worker.
 ROOM = 500_000
 _COLUMNS = 4096
+#: Key of the blocks that small components share; no id is taken to be this.
+_MIXED = -(1 << 63)
 
 
 class _Hashes(dict):
@@ -210,6 +219,70 @@ def _verify(batches):
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
+def _candidates(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """Whole texts of the classes that share a band, written once to the shared folder."""
+    path = new_path(rows.sparkSession, "candidates")
+    rows.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _with_roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) under the links so far."""
+    return nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _open_bands(banded: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, node, root) of bands that hold two components or more: what is left to verify."""
+    rooted = banded.join(found, "node")
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("band")
+    return rooted.join(open_, "band").select("band", "node", "root")
+
+
+def _best_hubs(open_: DataFrame, pick) -> DataFrame:
+    """(node, hub): for each node the hub of another component that it shares most bands with; a hub is its band's least or greatest node."""
+    hubs = open_.groupBy("band").agg(pick(F.struct("node", "root")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+    shared = open_.join(hubs, "band").filter("root <> hub_root").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("node").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
+
+
+def _star(pairs: DataFrame) -> DataFrame:
+    """(node, root, row, col, side): work that compares each node with its hub; a hub with many nodes meets them in parts of BLOCK."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    spokes = pairs.join(parts, "hub").select("node", F.col("hub").alias("root"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("row"), F.lit(1).alias("side"))
+    centres = parts.select(F.col("hub").alias("node"), F.col("hub").alias("root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("row"), F.lit(0).alias("side"))
+    return centres.unionByName(spokes).withColumn("col", F.col("row") + 1)
+
+
+def _groups(open_: DataFrame) -> DataFrame:
+    """(node, root, row, col, side): nodes of open bands in blocks, a row for each pair of blocks to compare.
+
+    root: the group of nodes that hang together by open bands. A component with
+    BLOCK nodes or more in its group has blocks of its own, which aren't compared
+    with each other; all other nodes share mixed blocks.
+    """
+    ties = open_.join(open_.groupBy("band").agg(F.min("node").alias("b")), "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    groups = components(ties)
+    nodes = open_.select("node", "root").distinct().withColumnRenamed("root", "comp").join(groups, "node")
+    sizes = nodes.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("pure", F.when(F.col("n") >= BLOCK, F.col("comp")))
+    lots = sizes.groupBy("root", "pure").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    numbered = cut(lots.withColumn("first", (F.sum("blocks").over(Window.partitionBy("root").orderBy("pure").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks")).cast("int")))
+    large = sizes.filter("pure is not null").select("root", "comp", "pure")
+    placed = nodes.join(large, ["root", "comp"], "left").withColumn("key", F.coalesce("pure", F.lit(_MIXED)))
+    lot = numbered.select("root", F.coalesce("pure", F.lit(_MIXED)).alias("key"), "blocks", "first")
+    placed = placed.join(lot, ["root", "key"]).withColumn("own", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = lot.select("root", F.col("key").alias("other_key"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("other"))
+    pairs = placed.select("node", "root", "key", "own").join(others, "root").filter((F.col("key") != F.col("other_key")) | (F.col("key") == _MIXED))
+    return pairs.select("node", "root", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def _verified(texts: DataFrame, work: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links that the work finds; each (root, row, col) is compared in one task as its rows stream by."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = work.join(texts, F.col("doc_id") == F.col("node")).select("node", "root", "text", "row", "col", "side")
+    sets = rows.mapInArrow(_sets, "node long, root long, row int, col int, side int, set array<long>")
+    return sets.repartition(parts, "root", "row", "col").sortWithinPartitions("root", "row", "col", "side", "node").mapInArrow(_verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) of every row.
 
@@ -226,18 +299,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("fp1 is not null and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = cut(classes)
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("band", "b")
-    edges = banded.join(shared, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    groups = components(edges)
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = rows.join(placed, F.col("doc_id") == F.col("node"))
-    work = texts.select("node", "root", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    work = work.select("node", "root", "text", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    sets = work.mapInArrow(_sets, "node long, root long, row int, col int, side int, set array<long>")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = sets.repartition(parts, "root", "row", "col").sortWithinPartitions("root", "row", "col", "side", "node").mapInArrow(_verify, "a long, b long")
-    found = components(links)
+    open_ = cut(_open_bands(banded, classes.select("node", F.col("node").alias("root"))))
+    texts, links = _candidates(rows, open_), []
+    for pick in (F.min, F.max):
+        links.append(cut(_verified(texts, _star(_best_hubs(open_, pick)))))
+        open_ = cut(_open_bands(open_.select("node", "band"), _with_roots(open_, reduce(DataFrame.unionByName, links))))
+    links.append(cut(_verified(texts, _groups(open_))))
+    found = components(reduce(DataFrame.unionByName, links))
     of_class = classes.join(found, "node", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("component"))
     named = signed.join(of_class, (signed["fp1"] == of_class["fp1"]) & (signed["fp2"] == of_class["fp2"]) & (F.col("n_shingles") == F.col("n")), "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
