@@ -36,9 +36,9 @@ twice AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x) AS n FROM spo
 hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, p + k FROM twice, range(5) r(k) WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM words) WHERE regexp_matches(l, {_WORD}) GROUP BY doc_id),
 base AS (SELECT doc_id, text, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-  coalesce(dup, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS upper_ FROM words LEFT JOIN hit h USING (doc_id) LEFT JOIN lines USING (doc_id))
+  coalesce(dup, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS stutter, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS upper_ FROM words LEFT JOIN hit h USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_symbols * 10 > n_words OR n_dup_lines * 2 > len(string_split(text, chr(10))) OR NOT word_chars BETWEEN 2 * n_words AND 16 * n_words OR letters * 2 < word_chars OR upper_ * 2 > letters) AS kept FROM base"""
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (stutter * 10 > 3 * n_words OR n_symbols * 10 > n_words OR n_dup_lines * 2 > len(string_split(text, chr(10))) OR NOT word_chars BETWEEN 2 * n_words AND 16 * n_words OR letters * 2 < word_chars OR upper_ * 2 > letters) AS kept FROM base"""
 
 NEAR = rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) AS w FROM documents),

@@ -61,8 +61,13 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(words) - 5), window), _covered).cast("long"))
 
 
+def n_stutter(words: Column) -> Column:
+    """Words equal to the word before them; words as in n_repeat_words."""
+    return F.size(F.filter(words, lambda w, k: w == F.get(words, k - 1))).cast("long")
+
+
 def base_stats(text: Column) -> Column:
-    """Struct of the base counts of a whole text; a null text counts as one without words."""
+    """Struct of the base counts of a whole text and n_stutter; a null text counts as one without words."""
     return let(
         words_of(text),
         lambda w: F.struct(
@@ -71,6 +76,7 @@ def base_stats(text: Column) -> Column:
             n_symbols(text).alias("n_symbols"),
             n_dup_lines(text).alias("n_dup_lines"),
             n_repeat_words(w).alias("n_repeat_words"),
+            n_stutter(w).alias("n_stutter"),
         ),
     )
 
@@ -97,9 +103,11 @@ def production_rules(text: Column | None = None, stats: Column | None = None) ->
     of = (lambda name, count: count(text)) if stats is None else (lambda name, count: stats[name])
     words, symbols, dups, in_words = of("n_words", n_words), of("n_symbols", n_symbols), of("n_dup_lines", n_dup_lines), of("word_chars", word_chars)
     repeats = let(words_of(text), lambda w: n_repeat_words(w) * 100 > F.size(w) * 20) if stats is None else stats["n_repeat_words"] * 100 > words * 20
+    stutter = let(words_of(text), lambda w: n_stutter(w) * 10 > F.size(w) * 3) if stats is None else stats["n_stutter"] * 10 > words * 3
     return [
         Rule("few_words", words < 10, chars * 2),
         Rule("repeats", repeats, chars * 20),
+        Rule("stutter", stutter, chars * 8),
         Rule("symbols", symbols * 10 > words, chars * 3),
         Rule("duplicate_lines", dups * 2 > F.coalesce(F.size(F.split(text, "\n")), F.lit(0)), chars),
         Rule("word_length", ~in_words.between(words * 2, words * 16), chars * 3),
@@ -152,4 +160,4 @@ def op5_quality_cascade(spark, sf_dir: str) -> DataFrame:
     rules = {r.name: r for r in production_rules(F.col("text"), F.col("b"))}
     counted = docs.withColumn("b", base_stats(F.col("text"))).select("doc_id", "b", rejected_by([rules[n] for n in order]).alias("rule"))
     failed = (F.col("b.n_words") < 10) | (F.col("b.n_repeat_words") * 100 > F.col("b.n_words") * 20)
-    return counted.select("doc_id", "b.*", failed.alias("base_failed"), (~failed & F.col("rule").isNull()).alias("kept"))
+    return counted.select("doc_id", *[f"b.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & F.col("rule").isNull()).alias("kept"))

@@ -15,8 +15,9 @@ def base(text):
     spots: dict = {}
     for k in range(len(w) - 4):
         spots.setdefault(tuple(w[k : k + 5]), []).append(k)
+    stutter = sum(a == b for a, b in zip(w, w[1:]))
     hit = {p + j for v in spots.values() if len(v) > 1 for p in v for j in range(5)}
-    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), stutter)
 
 
 def texts():
