@@ -271,3 +271,25 @@ def gap_detail(detail: Column) -> Column:
 def is_date(text: Column) -> Column:
     """A calendar date written YYYY-MM-DD; false for null."""
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+#: Wrappers that a type's name is looked for inside.
+WRAPPERS = ("Promise", "Array", "ReadonlyArray", "List", "IList", "IEnumerable", "ICollection", "Task", "ValueTask", "ActionResult", "Optional", "Sequence", "Iterable", "Set", "Awaited", "Partial", "Readonly", "Nullable")
+
+
+def reduced_type(text: Column, depth: int = 4) -> Column:
+    """The type that a type expression is about: no wrappers, arrays, null alternatives or type arguments; null where none is left.
+
+    A wrapper may stand around a wrapper, to `depth` levels.
+    """
+    out = F.regexp_replace(text, r"\s+", "")
+    for _ in range(depth):
+        out = F.regexp_replace(out, r"\|(?:null|undefined|None)|(?:null|undefined|None)\||\?$|(?:\[\])+$", "")
+        out = F.regexp_replace(out, rf"^(?:\w+\.)*(?:{'|'.join(WRAPPERS)})[<\[](.*)[>\]]$", "$1")
+    bare = F.regexp_replace(out, r"[<\[].*$", "")
+    return F.nullif(F.regexp_extract(bare, r"^(?:\w+\.)*(\w+)$", 1), F.lit(""))
+
+
+def unquoted(text: Column) -> Column:
+    """A string literal without its quotes; other texts as they are."""
+    return F.regexp_replace(text, r"""^(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|`([^`]*)`)$""", "$1$2$3")

@@ -70,15 +70,15 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     entries = rules.select("entry", "class", "processor", "removes", "flow").distinct()
 
     # What each call is: of the repository, decided by the catalogue, a data method, or a gap.
-    targets = resolve_local(ir)
+    targets = G.cut(resolve_local(ir))
     rest = calls.join(targets.select("sid").distinct(), "sid", "left_anti")
     decided = L.decide(rest.filter("how = 'api'").select(F.col("sid").alias("stmt"), F.col("callee").alias("path"), F.lit(lang).alias("lang")), rules).select(F.col("stmt").alias("sid"), "kind", "entry")
-    by_rule = rest.join(decided.filter("kind is not null").withColumnRenamed("kind", "decision"), "sid").join(entries, "entry")
+    by_rule = G.cut(rest.join(decided.filter("kind is not null").withColumnRenamed("kind", "decision"), "sid").join(F.broadcast(entries), "entry"))
     unruled = rest.join(by_rule.select("sid"), "sid", "left_anti")
     last = F.regexp_extract("callee", r"([^.]*)$", 1)
     logs = unruled.filter(F.col("field").isin(*catalogue.LOGGER_NAMES) & last.isin(*catalogue.LOGGER_METHODS))
     flow_of = F.create_map(*[x for flow, names in methods.items() for m in names for x in (F.lit(m), F.lit(flow))])
-    left = unruled.join(logs.select("sid"), "sid", "left_anti").withColumn("flow", F.when(F.col("how") == "method", F.try_element_at(flow_of, F.col("callee"))))
+    left = G.cut(unruled.join(logs.select("sid"), "sid", "left_anti").withColumn("flow", F.when(F.col("how") == "method", F.try_element_at(flow_of, F.col("callee")))))
 
     # Edges.
     needs = F.transform(F.filter("args", lambda a: a["var"].isNotNull()), lambda a: a["var"])
@@ -126,7 +126,7 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
 
     # Flows and the gaps that data reaches.
     reached = G.reach(edges, sources.select(F.col("id").alias("seed"), "var", "category").distinct(), most=most)
-    best = reached.groupBy("seed", "var").agg(F.min("dist").alias("dist"))
+    best = G.cut(reached.groupBy("seed", "var").agg(F.min("dist").alias("dist")))
     hit_vars = sinks.select(F.col("id").alias("sink"), F.explode(needs).alias("var")).distinct()
     pairs = best.join(hit_vars, "var").groupBy(F.col("seed").alias("source"), "sink").agg(F.min("dist").alias("hops"))
     flows = pairs.join(sources.select(F.col("id").alias("source"), "category").distinct(), "source")

@@ -22,13 +22,14 @@ def kappa(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFr
     One count a (group, a, b) is taken first; what follows works on those few
     counts, so a group that holds most rows does no harm.
     """
+    if not by:
+        return kappa(pairs.withColumn("__all", F.lit(1)), ["__all"], a, b).drop("__all")
     cells = pairs.groupBy(*by, F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("m"))
     sides = cells.select(*by, F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("m").alias("ma"), F.lit(0).alias("mb")), F.struct(F.col("b").alias("c"), F.lit(0).alias("ma"), F.col("m").alias("mb")))).alias("x"))
     margins = sides.groupBy(*by, "x.c").agg((F.sum("x.ma") * F.sum("x.mb")).alias("both")).groupBy(*by).agg(F.sum("both").alias("both"))
     same = cells.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(0)).alias("same"))
     po, pe = F.col("same") / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
-    joined = same.join(margins, by) if by else same.crossJoin(margins)
-    return joined.select(*by, "n", F.round(po, 4).alias("agreement"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 4)).alias("kappa"))
+    return same.join(margins, by).select(*by, "n", F.round(po, 4).alias("agreement"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 4)).alias("kappa"))
 
 
 def stratified(observed: DataFrame, population: DataFrame, strata: list[str], by: list[str]) -> DataFrame:

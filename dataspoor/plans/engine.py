@@ -46,8 +46,8 @@ _RING = "SELECT DISTINCT user_id AS a, (user_id * 7 + 13) % (SELECT max(user_id)
 
 def _ring(spark, sf):
     e = table(spark, sf, "events")
-    n = e.agg((F.max("user_id") + 1).alias("n"))
-    return e.select(F.col("user_id").alias("a")).distinct().crossJoin(F.broadcast(n)).select("a", ((F.col("a") * 7 + 13) % F.col("n")).alias("b"))
+    n = e.agg(F.max("user_id")).first()[0] + 1
+    return e.select(F.col("user_id").alias("a")).distinct().select("a", ((F.col("a") * 7 + 13) % n).alias("b"))
 
 
 _RING_DEPTH = f"""WITH RECURSIVE e AS ({_RING}), r AS (SELECT a AS start, a AS node, 0 AS depth FROM e UNION SELECT start, b, depth + 1 FROM r JOIN e ON r.node = e.a WHERE depth < {{0}}),

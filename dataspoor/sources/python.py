@@ -125,12 +125,20 @@ class Lowering(ast.NodeVisitor):
         if node.exc:
             self.add("throw", node, src=self.value(node.exc), dst=self.var("%throw"))
 
+    def member(self, node: ast.stmt, target: ast.expr, made: ast.expr | None) -> None:
+        """A class's attribute, with what it is made or annotated by."""
+        if self.cls and self.fn == MODULE and isinstance(target, ast.Name):
+            at = made.func if isinstance(made, ast.Call) else made
+            self.add("member", node, obj=self.cls, field=target.id, callee=self.api(at) if at else None)
+
     def visit_Assign(self, node: ast.Assign) -> None:
+        self.member(node, node.targets[0], node.value)
         src, path = self.value(node.value), self.api(node.value)
         for t in node.targets:
             self.store(t, src, node, path)
 
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        self.member(node, node.target, node.value or node.annotation)
         if node.value:
             self.store(node.target, self.value(node.value), node, self.api(node.value))
 

@@ -112,7 +112,7 @@ class Reader:
         self.toks, self.i = tokens(text), 0
         self.fn, self.cls, self.scopes = MODULE, None, [set()]
         self.known: dict[str, str] = {}
-        functions = re.findall(r"\b(?:function\*?|class)\s+([$\w]+)|\b(?:const|let|var)\s+([$\w]+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[$\w]+)\s*=>", text)
+        functions = re.findall(r"\b(?:function\*?|class)\s+([$\w]+)|\b(?:const|let|var)\s+([$\w]+)\s*=\s*(?:async\s*)?(?:[(<]|[$\w]+\s*=>)", text)
         self.defined = {a or b for a, b in functions}
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
@@ -167,6 +167,7 @@ class Reader:
         while True:
             while self.at("|", "&", "keyof", "typeof", "readonly", "infer", "unique", "asserts", "new", "-", "+"):
                 self.i += 1
+            group = self.at("(")
             if self.at("(", "[", "{"):
                 self.skip_group()
             elif self.at("<"):
@@ -185,7 +186,7 @@ class Reader:
                     self.skip_group()
                 else:
                     break
-            if self.at("=>", "is", "extends", "|", "&", "?") and not (self.at("?") and self.peek() in (")", ",", ":", "=")):
+            if (group and self.at("=>") or self.at("is", "extends", "|", "&", "?")) and not (self.at("?") and self.peek() in (")", ",", ":", "=")):
                 conditional = self.accept("?")
                 if not conditional:
                     self.i += 1
@@ -520,7 +521,7 @@ class Reader:
             held, self.i = self.i, j + 1
             try:
                 self.skip_type()
-                return self.at("=>") or self.toks[self.i - 2].text == "=>"
+                return self.at("=>")
             except Unreadable:
                 return False
             finally:
@@ -850,20 +851,19 @@ class Reader:
     def arguments(self) -> list[dict]:
         self.take("(")
         out: list[dict] = []
-        self.first_literal = None
+        first = None
         while not self.accept(")"):
             spread = self.accept("...")
             self.literal = None
+            head = self.t
             began = self.i
             v = self.assignment()
-            single = self.i == began + 1
             if not out:
-                first = self.literal if single and self.toks[began].kind in ("str", "tpl") else (self.literal or "").lstrip("=") if self.toks[began].kind in ("str", "tpl") else ""
-                self.first_literal = first
-            head = self.first_literal
+                known = self.literal if head.kind in ("str", "tpl") and self.literal is not None else ""
+                first = known if self.i == began + 1 else known.lstrip("=")
             out.append({"var": v, "kind": "spread" if spread else "positional", "pos": len(out), "name": None})
             self.accept(",")
-            self.first_literal = head
+        self.first_literal = first
         return out
 
     def type_arguments(self) -> bool:

@@ -102,7 +102,7 @@ class Mailer {
   }
 }
 
-function relay(value: string) { console.warn(value); } // expect: PF001
+function relay(value: string) { console.warn(value); } // expect: PF001 PF005
 save({ phone: '1' }).then((r) => r);
 export default function run(u: any) { relay(u.password_hash ?? ''); relay(u.city); }
 """,
