@@ -24,7 +24,6 @@ from array import array
 #: Words and pieces kept per worker, some 200 bytes each.
 ROOM = 1_300_000
 _MARK = "\x01"
-_ODD = re.compile(r"[^\S \n]|\s\s|\x01")
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _TAIL = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\\s{_LETTER}{_DIGIT}]+|\\s"
 _LEAD = re.compile(_TAIL)
@@ -89,7 +88,7 @@ class Coder:
         for t in texts:
             if not self.lead:
                 out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
-            elif _ODD.search(t):
+            elif _MARK in t or " ".join(t.split()) != t.replace("\n", " "):
                 out += self.library([t])
             else:
                 out.append(b"".join(map(get, t.replace(" ", f" {_MARK}").replace("\n", " \n ").split(" "))))

@@ -13,17 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the least label next to it, then its label's label;
     rounds go on until nothing changes, some log2 of the longest path. Labels
-    live in the shared checkpoint folder; only a count reaches the driver.
+    live in the shared checkpoint folder; only one row reaches the driver.
     Minima are taken before rows are dealt, so a hub's many edges don't meet.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.filter("a <> b").select(F.inline(ways)).distinct())
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         up = labels.select(F.col("node").alias("at"), F.col("root").alias("above"))
         moved = cut(lower.join(up, F.col("low") == F.col("at"), "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("above", "low")).alias("root")))
         labels = moved.select("node", "root")
-        if not moved.filter("old <> root").limit(1).count():
+        if moved.filter("old <> root").isEmpty():
             return labels

@@ -8,8 +8,8 @@
    as soon as its slots are all filled, since later layers can only be larger.
 3. BANDS bands of ROWS slots: classes that share a band are candidates. At a
    similarity of 0.85 all bands differ with a chance below 1e-6.
-4. Stars first: each class is compared with the one class, least (then greatest)
-   of a shared band, that it shares most bands with. A group of near copies, of
+4. Stars first: each class is compared with the one class, the least of a shared
+   band, that it shares most bands with. A group of near copies, of
    any size, becomes one component by as many comparisons as it has classes.
 5. Bands that then hold two components or more are open: their classes hang
    together in groups, a group goes to blocks of BLOCK classes, and each pair of
@@ -22,8 +22,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,17 +229,16 @@ def _with_roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _open_bands(banded: DataFrame, found: DataFrame) -> DataFrame:
+def _open_bands(rooted: DataFrame) -> DataFrame:
     """(band, node, root) of bands that hold two components or more: what is left to verify."""
-    rooted = banded.join(found, "node")
     open_ = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("band")
     return rooted.join(open_, "band").select("band", "node", "root")
 
 
-def _best_hubs(open_: DataFrame, pick) -> DataFrame:
-    """(node, hub): for each node the hub of another component that it shares most bands with; a hub is its band's least or greatest node."""
-    hubs = open_.groupBy("band").agg(pick(F.struct("node", "root")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
-    shared = open_.join(hubs, "band").filter("root <> hub_root").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+def _best_hubs(open_: DataFrame) -> DataFrame:
+    """(node, hub): for each node the hub that it shares most bands with; a hub is its band's least node."""
+    hubs = open_.groupBy("band").agg(F.min("node").alias("hub"))
+    shared = open_.join(hubs, "band").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("node").agg(F.max_by("hub", F.struct("n", F.negative("hub"))).alias("hub"))
 
 
@@ -299,13 +296,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("fp1 is not null and doc_id is not null").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     classes = cut(classes)
     banded = classes.select("node", F.explode("bands").alias("band"))
-    open_ = cut(_open_bands(banded, classes.select("node", F.col("node").alias("root"))))
-    texts, links = _candidates(rows, open_), []
-    for pick in (F.min, F.max):
-        links.append(cut(_verified(texts, _star(_best_hubs(open_, pick)))))
-        open_ = cut(_open_bands(open_.select("node", "band"), _with_roots(open_, reduce(DataFrame.unionByName, links))))
-    links.append(cut(_verified(texts, _groups(open_))))
-    found = components(reduce(DataFrame.unionByName, links))
+    open_ = cut(_open_bands(banded.withColumn("root", F.col("node"))))
+    texts = _candidates(rows, open_)
+    links = cut(_verified(texts, _star(_best_hubs(open_))))
+    rooted = open_.drop("root").join(_with_roots(open_, links), "node")
+    rest = cut(_open_bands(rooted))
+    links = links.unionByName(_verified(texts, _groups(rest)))
+    found = components(links)
     of_class = classes.join(found, "node", "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("root", "node").alias("component"))
     named = signed.join(of_class, (signed["fp1"] == of_class["fp1"]) & (signed["fp2"] == of_class["fp2"]) & (F.col("n_shingles") == F.col("n")), "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -23,8 +23,8 @@ from .coding import small_batches
 
 #: Segmentations that one seed gives a word.
 STREAMS = 2
-#: Words kept per worker and stream.
-ROOM = 400_000
+#: Words kept per worker and stream, some 200 bytes each.
+ROOM = 1_000_000
 DROPOUT = 0.1
 _MARK = "▁"
 _RUNS = re.compile(f"\\n|{_MARK}*[^{_MARK}\\n]+|{_MARK}+")
