@@ -18,17 +18,21 @@ TOP, PHI = "TOP", "PHI"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only under a local master."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one of our own only under a local master."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if known:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(known)
         return known
-    if not spark.sparkContext.master.startswith("local["):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dataspoor-"))
-    return spark.sparkContext.getCheckpointDir()
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="dataspoor-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """Compute df once into the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

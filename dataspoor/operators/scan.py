@@ -57,11 +57,12 @@ def resolve_local(ir: DataFrame) -> DataFrame:
     return same.unionByName(other).select("sid", F.concat_ws("|", "repo", "path", "fn").alias("target"))
 
 
-def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[str, ...]], processors: DataFrame | None = None, extra: DataFrame | None = None, most: int = 256) -> Report:
+def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[str, ...]], processors: DataFrame | None = None, extra: DataFrame | None = None, levels: dict[str, str] = X.RULES, most: int = 256) -> Report:
     """Report tables of statements (see sources.python.IR).
 
     rules: see sources.catalogue.rules; methods: data methods by their flow;
-    extra: declared names for the classifier; processors: declared ones.
+    extra: declared names for the classifier; processors: declared ones; levels:
+    severities of the policy rules that are enabled.
     """
     spark = ir.sparkSession
     processors = spark.createDataFrame([], _PROCESSORS) if processors is None else processors
@@ -138,10 +139,45 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     gaps = X.reached_gaps(touched.unionByName(broken))
     slim = sources.select("id", "category", "needs_review", "path", "line", "text").distinct()
     flat = sinks.select("id", "repo", "catalogue_id", "class", "processor", "heuristic", "host_kind", "host_value", "dest_kind", "dest_target", "path", "line").dropDuplicates(["id"])
-    findings = X.exposures(X.fired(flows, slim, flat, processors)).join(flat.select(F.col("id").alias("sink"), "repo"), "sink")
+    findings = X.exposures(X.fired(flows, slim, flat, processors, levels)).join(flat.select(F.col("id").alias("sink"), "repo"), "sink")
     return Report(sources, flat, flows, gaps, findings, X.egress(flows, flat, processors))
 
 
+def _union(a: Report, b: Report) -> Report:
+    return Report(*[getattr(a, f).unionByName(getattr(b, f)) for f in ("sources", "sinks", "flows", "gaps", "findings", "egress")])
+
+
+def scan_files(files: DataFrame, config=None) -> Report:
+    """Report of source files (repo, path, text): exclusions, size limit and languages as configured.
+
+    config: a `sources.config.Config`; the built-in rules and its extensions
+    apply. Files of known languages that aren't read, and those over the size
+    limit, are gaps.
+    """
+    from ..functions.globs import any_glob
+    from ..sources import config as C
+    from ..sources import files as S
+    from ..sources import python, scripts
+
+    spark = files.sparkSession
+    config = C.Config() if config is None else config
+    kept = files.filter(~any_glob(F.col("path"), config.excludes, "/")).withColumn("lang", S.language_of(F.col("path")))
+    readable, large = S.size_guard(kept.filter("lang is not null"), text_col="text")
+    rules = catalogue.rules(spark, config.extensions)
+    processors = C.processor_table(spark, config).select("ordinal", "name", "sink_regex", "host", "citation")
+    extra = C.field_table(spark, config)
+    halves = []
+    for lang, wanted, lower, methods in (("python", ("python",), python.lower_files, catalogue.PY_METHODS), ("javascript", ("javascript", "typescript"), scripts.lower_files, catalogue.JS_METHODS)):
+        halves.append(scan(lower(readable.filter(F.col("lang").isin(*wanted))), lang, rules.filter(F.col("lang") == lang), methods, processors, extra, config.rules))
+    report = _union(*halves)
+    unread = kept.filter("lang is null").withColumn("other", S.unsupported_of(F.col("path"))).filter("other is not null")
+    static = unread.select(F.lit("unsupported_language").alias("kind"), F.col("other").alias("detail"), "path").unionByName(large.select("kind", F.lit("over the size limit").alias("detail"), "path"))
+    counted = static.groupBy("kind", "detail").agg(F.count(F.lit(1)).alias("n_locations"), F.count(F.lit(1)).alias("n_reached"), F.min("path").alias("first_path"))
+    said = "it exists whatever the data, so what it hides is not known"
+    report.gaps = report.gaps.unionByName(counted.select("kind", "detail", "n_locations", "n_reached", F.lit("medium").alias("impact"), F.lit(said).alias("impact_reason"), "first_path", F.lit(None).cast(report.gaps.schema["first_line"].dataType).alias("first_line")))
+    return report
+
+
 def scan_python(files: DataFrame) -> DataFrame:
     """(repo, id, rule_id, severity, path, line, categories, message) of Python files (repo, path, text)."""
     from ..sources import python

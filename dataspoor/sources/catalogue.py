@@ -67,6 +67,13 @@ JS_SINKS = (
 )
 JS_PROPAGATORS = (("js.json", "args_to_result", ("JSON.{stringify,parse}",)), ("js.globals", "args_to_result", ("{String,Number,Object,Array,Buffer,encodeURIComponent}{,.*}",)))
 JS_SANITISERS = (("js.password-hash", "user.authorization", ("{bcrypt,bcryptjs}:**{hash,hashSync}", "argon2:**hash")), ("js.predicates", "*", ("Array.isArray", "Number.{isNaN,isFinite,isInteger}")))
+#: Methods of data by what they do with it.
+JS_METHODS = {
+    "args_to_result": ("toLowerCase", "toUpperCase", "trim", "trimStart", "trimEnd", "slice", "substring", "split", "join", "replace", "replaceAll", "concat", "padStart", "padEnd", "repeat", "toString", "toJSON", "valueOf", "at", "charAt", "normalize", "flat", "reverse", "sort", "keys", "values", "entries", "get", "then", "json", "text"),
+    "args_to_receiver": ("push", "unshift", "splice", "add", "set", "append"),
+    "receiver_to_callback": ("map", "forEach", "filter", "find", "findLast", "findIndex", "flatMap", "reduce", "some", "every"),
+    "none": ("includes", "startsWith", "endsWith", "test", "has", "indexOf", "lastIndexOf", "localeCompare"),
+}
 
 
 def rules(spark: SparkSession, extensions: list[tuple] = ()) -> DataFrame:

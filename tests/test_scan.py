@@ -149,3 +149,24 @@ def test_script_marks(spark):
     r = held(spark, SCRIPT, scripts.lower_files, "javascript", methods)
     assert {(x.rule_id, x.path, x.line) for x in r.findings.collect()} == marks(SCRIPT)
     assert not [x for x in r.gaps.collect() if x.kind == "parse_error"]
+
+
+def test_whole_trees_and_configuration(spark, tmp_path):
+    from dataspoor import cli
+    from dataspoor.sources import config
+
+    tree = {"a/" + p: t for p, t in PYTHON.items() if p == "app/log.py"} | SCRIPT | {"x.go": "package main", "node_modules/m/i.js": "console.log(u.email)"}
+    rows = spark.createDataFrame([("", p, t) for p, t in tree.items()], "repo string, path string, text string")
+    r = S.scan_files(rows, config.load({"policy": {"rules": {"PF005": {"enabled": False}}}, "processors": [{"name": "Api", "hosts": ["example.com"], "citation": "c"}]}))
+    found = {(x.rule_id, x.path, x.line) for x in r.findings.collect()}
+    assert found == {m for m in marks(tree) if m[0] not in ("PF005", "PF002")}
+    assert ("unsupported_language", "Go") in {(g.kind, g.detail) for g in r.gaps.collect()}
+    for p, t in tree.items():
+        (tmp_path / "t" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / p).write_text(t)
+    assert cli.scan(spark, str(tmp_path / "t"), str(tmp_path / "out.sarif"), config.Config()) in (1, 4)
+    import json
+
+    text = "".join(x.read_text() for x in sorted((tmp_path / "out.sarif").glob("part-*")))
+    assert {x["ruleId"] for x in json.loads(text)["runs"][0]["results"]} == {"PF001", "PF002", "PF005"}
+    assert cli.main(["scan", str(tmp_path), "--config", str(tmp_path / "none.json")]) == 3
