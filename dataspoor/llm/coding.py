@@ -23,7 +23,9 @@ from array import array
 
 #: Words and pieces kept per worker, some 200 bytes each.
 ROOM = 1_300_000
+#: In `lead` mode a word without this mark has a space before it.
 _MARK = "\x01"
+_BREAK, _SPACES = f" \n {_MARK}", (" ", "\n")
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _TAIL = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\\s{_LETTER}{_DIGIT}]+|\\s"
 _LEAD = re.compile(_TAIL)
@@ -60,13 +62,13 @@ class Coder:
                 return array("I", [t.id for t in tokenize(piece.encode().decode("latin1").translate(stand_in))]).tobytes()
 
             def piece(self, piece: str) -> bytes:
-                unit = piece.replace(" ", _MARK) if lead else piece
+                unit = piece if not lead or piece == "\n" else piece[1:] if piece[0] == " " else _MARK + piece
                 if unit not in self:
                     self[unit] = self.model(piece)
                 return self[unit]
 
             def __missing__(self, unit: str) -> bytes:
-                word = unit.replace(_MARK, " ") if lead else unit
+                word = unit if not lead or unit == "\n" else unit[1:] if unit[:1] == _MARK else " " + unit
                 if _PLAIN(word):
                     pieces = find(word if lead else word.lower())
                     out = self.model(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
@@ -75,11 +77,15 @@ class Coder:
                 self[unit] = out
                 return out
 
-        return Known({"": b""})
+        return Known({_MARK if lead else "": b""})
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _odd(self, t: str) -> bool:
+        """Whether a text's white space is anything but single spaces and line feeds between words."""
+        return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in _SPACES or t[-1:] in _SPACES or not t.replace("\n", "").isprintable()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native 32-bit unsigned integers."""
         if len(self.known) > ROOM:
@@ -88,10 +94,10 @@ class Coder:
         for t in texts:
             if not self.lead:
                 out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
-            elif _MARK in t or " ".join(t.split()) != t.replace("\n", " "):
+            elif self._odd(t):
                 out += self.library([t])
             else:
-                out.append(b"".join(map(get, t.replace(" ", f" {_MARK}").replace("\n", " \n ").split(" "))))
+                out.append(b"".join(map(get, (_MARK + t).replace("\n", _BREAK).split(" "))))
         return out
 
 

@@ -21,7 +21,7 @@ from .common import new_path
 
 #: Parquet writer settings: version 2 gives delta pages and page indexes.
 WRITER = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
