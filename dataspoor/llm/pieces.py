@@ -3,58 +3,78 @@
 A BPE piece model merges on an agenda: the best-scored candidate first, the
 leftmost among equals. With dropout each candidate that comes up is skipped
 where a keyed hash says so; a skipped one is gone unless a neighbour changes.
-The key is the seed, the stream of the document (its id's hash, one of STREAMS)
-and the word, so that one seed always gives the same ids, other seeds and
-streams give others, and a word's ids can be kept for the stream. Pieces hold no
-space but at their start, so words are handled one by one.
+The key is the seed, the document's id and the place of the word in it: one seed
+always gives the same ids, and every occurrence of a word is cut by itself.
+Pieces hold no space but at their start, so words are handled one by one.
+
+Hashes are drawn as gaps, the numbers of candidates taken between two skipped
+ones. A word's pieces follow from its gaps alone, so pieces are kept for short
+lists of gaps, whatever document they come from; the rest is merged anew.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
+from itertools import chain, count, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .coding import small_batches
 
-#: Segmentations that one seed gives a word.
-STREAMS = 2
-#: Words kept per worker and stream, some 200 bytes each.
+#: Words and lists of gaps kept per worker, some 300 bytes each.
 ROOM = 1_000_000
+#: Pieces are kept for so many gaps at most, of words of so many characters at most.
+KEPT_GAPS, KEPT_CHARS = 2, 48
 DROPOUT = 0.1
 _MARK = "▁"
 _RUNS = re.compile(f"\\n|{_MARK}*[^{_MARK}\\n]+|{_MARK}+")
 _CODERS: dict = {}
-_MASK = (1 << 64) - 1
 
 
 class PieceCoder:
-    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = 0, streams: int = STREAMS):
+    def __init__(self, model: str, dropout: float = DROPOUT, seed: int = 0):
+        import numpy as np
         import sentencepiece
 
         self.model = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(k) for k in range(n)]
         normal = [k for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
-        self.id = {names[k]: k for k in normal}
+        self.ids_of = {names[k]: k for k in normal}.get
         self.rank = {names[k]: r for r, k in enumerate(sorted(normal, key=lambda k: (-sp.get_score(k), k)))}
         byte = {int(names[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
         self.byte = [byte[b] for b in range(256)]
+        self.mark = array("I", [self.byte[b] for b in _MARK.encode()]).tobytes()
         self.raw = [bytes([int(names[k][3:5], 16)]) if sp.is_byte(k) else b"" if sp.is_control(k) else names[k].replace(_MARK, " ").encode() for k in range(n)]
-        self.cutoff = int(dropout * (1 << 64))
-        self.seed, self.streams = seed, streams
-        self.known = [self._table(s) for s in range(streams)]
+        self.dropout, self.seed = dropout, seed
+        # A hash below the k-th number from the end takes more than k candidates before it skips one.
+        longest = 0 if not 0 < dropout < 1 else int(-64 * math.log(2) / math.log1p(-dropout)) + 1
+        self.steps = np.array([int((1 - dropout) ** k * (1 << 64)) for k in range(longest, 0, -1)], np.uint64)
+        # By word: [candidates after the last skipped one, ids, the same by a further gap].
+        self.known: dict = {}
+        self.held = 0
+
+    def key(self, doc_id) -> int:
+        return int.from_bytes(blake2b(f"{self.seed}/{doc_id}".encode(), digest_size=8).digest(), "little")
+
+    def gaps(self, key: int, first: int, n: int) -> list[int]:
+        """Gaps first..first+n-1 of a key: candidates that are taken before one is skipped."""
+        import numpy as np
 
-    def stream(self, doc_id) -> int:
-        return zlib.crc32(f"{self.seed}/{doc_id}".encode()) % self.streams
+        h = np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return (len(self.steps) - np.searchsorted(self.steps, h ^ h >> np.uint64(31), "right")).tolist()
 
-    def segment(self, unit: str, key: int) -> list[str]:
-        """Pieces of a word; key 0 with no dropout gives the model's own ones."""
-        n, get, cutoff = len(unit), self.rank.get, self.cutoff
+    def segment(self, unit: str, gaps) -> tuple[list[str], int, int]:
+        """Pieces of a word with endless gaps (-1: no more skips), how many candidates were skipped, and how many came up after those."""
+        n, get, gap, seen, skipped = len(unit), self.rank.get, next(gaps), 0, 0
         end, prev, agenda = list(range(1, n + 1)), list(range(-1, n)), []
         for i in range(n - 1):
             if (r := get(unit[i : i + 2])) is not None:
@@ -64,10 +84,10 @@ class PieceCoder:
             _, i, m, e = heappop(agenda)
             if end[i] != m or end[m] != e:
                 continue
-            if cutoff:
-                h = ((key ^ (i << 42 | m << 21 | e)) * 0x9E3779B97F4A7C15) & _MASK
-                if ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & _MASK < cutoff:
-                    continue
+            if seen == gap:
+                gap, seen, skipped = next(gaps), 0, skipped + 1
+                continue
+            seen += 1
             end[i], end[m] = e, 0
             if e < n:
                 prev[e] = i
@@ -79,26 +99,23 @@ class PieceCoder:
         while i < n:
             out.append(unit[i : end[i]])
             i = end[i]
+        return out, skipped, seen
+
+    def fresh(self, unit: str, gaps: tuple[int, ...], more, kept: dict | None, at) -> bytes:
+        """Ids of a word with these gaps and then `more`; put into kept if all gaps but the last skip one."""
+        ids, byte, got = self.ids_of, self.byte, []
+        found, skipped, n = self.segment(unit, chain(gaps, more))
+        for p in found:
+            if (k := ids(p)) is not None:
+                got.append(k)
+            else:
+                got += [byte[b] for b in p.encode()]
+        out = array("I", got).tobytes()
+        if kept is not None and skipped == len(gaps) - 1:
+            kept[at] = [n, out, None]
+            self.held += 1
         return out
 
-    def _table(self, stream: int) -> dict:
-        segment, ids, byte, start = self.segment, self.id, self.byte, f"{self.seed}/{stream}/"
-
-        class Known(dict):
-            def __missing__(self, unit: str) -> bytes:
-                data = unit.encode()
-                h = zlib.crc32(data, zlib.crc32(start.encode()))
-                got: list[int] = []
-                for p in segment(unit, h << 32 | zlib.crc32(data[::-1], h)):
-                    if p in ids:
-                        got.append(ids[p])
-                    else:
-                        got += [byte[b] for b in p.encode()]
-                self[unit] = out = array("I", got).tobytes()
-                return out
-
-        return Known({"": b"", None: array("I", [byte[b] for b in _MARK.encode()]).tobytes()})
-
     def units(self, text: str) -> list:
         """Words with their mark; None stands for the mark itself as a character of the text."""
         if not text:
@@ -112,11 +129,39 @@ class PieceCoder:
             return _RUNS.findall(_MARK + text.replace(" ", _MARK))
         return (_MARK + text.replace(" ", f" {_MARK}").replace("\n", " \n ")).split(" ") if text[0] != " " else _RUNS.findall(_MARK + text.replace(" ", _MARK))
 
-    def encode(self, text: str, stream: int = 0) -> bytes:
+    def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as native 32-bit unsigned integers; an empty text has none."""
-        if len(self.known[stream]) > ROOM:
-            self.known[stream] = self._table(stream)
-        return b"".join(map(self.known[stream].__getitem__, self.units(text)))
+        if self.held > ROOM:
+            self.known, self.held = {}, 0
+        units = self.units(text)
+        n = len(units)
+        known, fresh, out = self.known, self.fresh, []
+        first = self.gaps(key, 0, n) if self.dropout else repeat(-1, n)
+        more = chain.from_iterable(self.gaps(key, k, n) for k in count(n, n)) if self.dropout else repeat(-1)
+        for unit, gap in zip(units, first):
+            if unit is None:
+                out.append(self.mark)
+            elif (x := known.get(unit)) is None:
+                out.append(fresh(unit, (gap,), more, known, unit))
+            elif not -1 < gap < x[0]:
+                out.append(x[1])
+            else:
+                gaps = (gap,)
+                while True:
+                    gaps = (*gaps, next(more))
+                    if len(gaps) > KEPT_GAPS + 1 or len(unit) > KEPT_CHARS:
+                        out.append(fresh(unit, gaps, more, None, gap))
+                        break
+                    if x[2] is None:
+                        x[2] = {}
+                    if (y := x[2].get(gap)) is None:
+                        out.append(fresh(unit, gaps, more, x[2], gap))
+                        break
+                    x, gap = y, gaps[-1]
+                    if gap >= x[0]:
+                        out.append(x[1])
+                        break
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """The text again: joined pieces less the space put before the first."""
@@ -129,17 +174,17 @@ def coder(*args) -> PieceCoder:
     return _CODERS[args]
 
 
-def _encoder(model: str, dropout: float, seed: int, streams: int, digest: bool):
+def _encoder(model: str, dropout: float, seed: int, digest: bool):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        c = coder(model, dropout, seed, streams)
+        c = coder(model, dropout, seed)
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            streams_ = [c.stream(d) for d in docs]
-            ids = [c.encode(t, s) for t, s in zip(texts, streams_)]
-            cols = [b.column("doc_id"), pa.array(streams_, pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            keys = [c.key(d) for d in docs]
+            ids = [c.encode(t, k) for t, k in zip(texts, keys)]
+            cols = [b.column("doc_id"), pa.array([k >> 33 for k in keys], pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if digest:
                 back = [c.decode(memoryview(x).cast("I")) for x in ids]
                 cols += [pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([x == y for x, y in zip(texts, back)])]
@@ -156,12 +201,12 @@ def _run(docs: DataFrame, run, schema: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {schema}")
 
 
-def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = 0, streams: int = STREAMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stream, n_pieces, ids) of every whole text; null and empty texts have no ids.
 
-    Rows with equal ids and texts get equal pieces. Other columns are ignored.
+    stream: the first 31 bits of the document's key, whose 64 all count. Rows with equal ids and texts get equal pieces. Other columns are ignored.
     """
-    return _run(docs, _encoder(model, dropout, seed, streams, False), "stream int, n_pieces long, ids array<int>", id_col, text_col)
+    return _run(docs, _encoder(model, dropout, seed, False), "stream int, n_pieces long, ids array<int>", id_col, text_col)
 
 
 def decode_pieces(coded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -184,4 +229,4 @@ def op6_merge_dropout(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _run(docs, _encoder(public_tokenizers.path("piece_bpe_32k.model"), DROPOUT, 0, STREAMS, True), "stream int, n_pieces long, ids_crc32 long, lossless boolean", "doc_id", "text")
+    return _run(docs, _encoder(public_tokenizers.path("piece_bpe_32k.model"), DROPOUT, 0, True), "stream int, n_pieces long, ids_crc32 long, lossless boolean", "doc_id", "text")
