@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _rounds(start: DataFrame, step, key: list[str], most: int) -> DataFrame:
-    """start and all that step gives of what is new, for up to `most` rounds."""
+def _rounds(start: DataFrame, step, key: list[str], most: int | None) -> DataFrame:
+    """start and all that step gives of what is new, until nothing is, or for up to `most` rounds."""
     new = cut(start)
     parts = [new]
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         seen = reduce(DataFrame.unionByName, parts).select(*key)
         new = cut(step(new).join(seen, key, "left_anti"))
         if new.isEmpty():
@@ -52,10 +53,10 @@ def _rounds(start: DataFrame, step, key: list[str], most: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, depth): what each start reaches over edges (a, b), with the least number of steps.
 
-    starts: (start, node), at depth 0. At most `most` steps are taken.
+    starts: (start, node), at depth 0. At most `most` steps are taken, without it all.
     """
     step = lambda new: new.join(edges, new["node"] == edges["a"]).groupBy("start", F.col("b").alias("node")).agg((F.min("depth") + 1).alias("depth"))
     return _rounds(starts.select("start", "node", F.lit(0).alias("depth")), step, ["start", "node"], most)
@@ -77,14 +78,21 @@ def transfer(kind: Column, key: Column, token: Column, removed: Column | None =
     )
 
 
-def reach(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, most: int = 256) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(seed, var, token, dist): states that seeds reach, with the least number of edges.
 
     edges: (a, kind, key, b); seeds: (seed, var) and maybe their category, which
     start with TOP; stops (var): variables that a flow enters but doesn't leave.
     A sanitize edge stops the categories below its key. Tokens are few for a
-    variable, so states are bounded by its stored fields.
+    variable, so states are bounded by its stored fields, and rounds end by
+    themselves; `most` bounds them (see `reach_gaps` for what that cuts).
     """
+    step, about = _flow_step(edges, seeds, stops)
+    return _rounds(seeds.select(*about, "var", F.lit(TOP).alias("token"), F.lit(0).alias("dist")), step, ["seed", "var", "token"], most)
+
+
+def _flow_step(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None):
+    """(step, columns of a seed): one round of `reach`."""
     go = edges if stops is None else edges.join(stops.select(F.col("var").alias("a")), "a", "left_anti")
     about = ["seed", "category"] if "category" in seeds.columns else ["seed"]
     removed = None
@@ -95,7 +103,13 @@ def reach(edges: DataFrame, seeds: DataFrame, stops: DataFrame | None = None, mo
         moved = new.join(go, new["var"] == go["a"]).select(*about, F.col("b").alias("var"), transfer(F.col("kind"), F.col("key"), F.col("token"), removed).alias("token"), "dist")
         return moved.filter("token is not null").groupBy(*about, "var", "token").agg((F.min("dist") + 1).alias("dist"))
 
-    return _rounds(seeds.select(*about, "var", F.lit(TOP).alias("token"), F.lit(0).alias("dist")), step, ["seed", "var", "token"], most)
+    return step, about
+
+
+def reach_gaps(reached: DataFrame, edges: DataFrame, seeds: DataFrame, bound: int, stops: DataFrame | None = None) -> DataFrame:
+    """(seed, var, token, dist): states one edge over the bound of `reach` that nothing within it reaches."""
+    step, _ = _flow_step(edges, seeds, stops)
+    return step(reached.filter(F.col("dist") == bound)).join(reached.select("seed", "var", "token"), ["seed", "var", "token"], "left_anti")
 
 
 def depth_gaps(reached: DataFrame, edges: DataFrame, bound: int) -> DataFrame:

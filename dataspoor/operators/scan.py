@@ -57,12 +57,13 @@ def resolve_local(ir: DataFrame) -> DataFrame:
     return same.unionByName(other).select("sid", F.concat_ws("|", "repo", "path", "fn").alias("target"))
 
 
-def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[str, ...]], processors: DataFrame | None = None, extra: DataFrame | None = None, levels: dict[str, str] = X.RULES, most: int = 256) -> Report:
+def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[str, ...]], processors: DataFrame | None = None, extra: DataFrame | None = None, levels: dict[str, str] = X.RULES, most: int | None = None) -> Report:
     """Report tables of statements (see sources.python.IR).
 
     rules: see sources.catalogue.rules; methods: data methods by their flow;
     extra: declared names for the classifier; processors: declared ones; levels:
-    severities of the policy rules that are enabled.
+    severities of the policy rules that are enabled; most: edges that a flow may
+    take, all by default; what that cuts is a `depth_bound` gap.
     """
     spark = ir.sparkSession
     processors = spark.createDataFrame([], _PROCESSORS) if processors is None else processors
@@ -126,7 +127,8 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     sinks = G.cut(_anchored(sunk, "snk", "repo", "path", "fn", "catalogue_id", "text"))
 
     # Flows and the gaps that data reaches.
-    reached = G.reach(edges, sources.select(F.col("id").alias("seed"), "var", "category").distinct(), most=most)
+    seeds = sources.select(F.col("id").alias("seed"), "var", "category").distinct()
+    reached = G.reach(edges, seeds, most=most)
     best = G.cut(reached.groupBy("seed", "var").agg(F.min("dist").alias("dist")))
     hit_vars = sinks.select(F.col("id").alias("sink"), F.explode(needs).alias("var")).distinct()
     pairs = best.join(hit_vars, "var").groupBy(F.col("seed").alias("source"), "sink").agg(F.min("dist").alias("hops"))
@@ -136,7 +138,12 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     open_calls = left.filter("flow is null").select(F.when(F.col("how") == "method", "unresolved_method").otherwise("unresolved_callee").alias("kind"), F.col("callee").alias("detail"), "path", "line", F.explode(needs).alias("var"))
     touched = open_calls.join(best.join(sources.select(F.col("id").alias("seed"), "category", "needs_review").distinct(), "seed"), "var").select("kind", "detail", "path", "line", "category", "needs_review")
     broken = ir.filter("kind = 'parse_error'").select("kind", F.col("text").alias("detail"), "path", "line", F.lit(N.UNKNOWN).alias("category"), F.lit(True).alias("needs_review"))
-    gaps = X.reached_gaps(touched.unionByName(broken))
+    seen = touched.unionByName(broken)
+    if most is not None:
+        over = G.reach_gaps(reached, edges, seeds, most).select(F.col("seed").alias("id")).distinct()
+        cut_short = over.join(sources.select("id", "path", "line", "category", "needs_review").distinct(), "id")
+        seen = seen.unionByName(cut_short.select(F.lit("depth_bound").alias("kind"), F.lit(f"flows of more than {most} edges").alias("detail"), "path", "line", "category", "needs_review"))
+    gaps = X.reached_gaps(seen)
     slim = sources.select("id", "category", "needs_review", "path", "line", "text").distinct()
     flat = sinks.select("id", "repo", "catalogue_id", "class", "processor", "heuristic", "host_kind", "host_value", "dest_kind", "dest_target", "path", "line").dropDuplicates(["id"])
     findings = X.exposures(X.fired(flows, slim, flat, processors, levels)).join(flat.select(F.col("id").alias("sink"), "repo"), "sink")
