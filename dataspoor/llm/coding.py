@@ -9,10 +9,17 @@ split there, so the ids equal those of encoding the text in one call:
   isn't single spaces and single line feeds between words go through the
   library whole.
 
+A text that holds the string of an added token (`<|endoftext|>`) goes through the
+library whole as well, so such a string gets the id that the library gives it.
+
 A word of Latin-1 characters goes to the library's model, split as the
-tokenizer's pattern says; any other word goes through its whole pipeline.
-Ids of words and of their pieces are kept in a table per Python worker that is
-emptied at ROOM entries, so memory is bounded and results never depend on it.
+tokenizer's pattern says; any other word goes through its whole pipeline. A full
+stop or comma that ends a word is a piece of its own, and so it is looked up by
+itself, in texts where none follows another sign.
+Ids of words and of their pieces are kept in two generations per Python worker:
+when the younger holds half of ROOM bytes it becomes the older, and what is met
+again moves back. One vocabulary is kept at a time, so ROOM bounds a worker's
+tables whatever the corpus; results never depend on it.
 """
 
 from __future__ import annotations
@@ -21,8 +28,10 @@ import os
 import re
 from array import array
 
-#: Words and pieces kept per worker, some 200 bytes each.
-ROOM = 1_300_000
+#: Bytes that the tables of a worker may take, keys, values and slots.
+ROOM = 128 << 20
+#: Bytes of an entry beside its characters and ids: two object heads and a slot with its share of free ones. Longer words than LONGEST aren't kept.
+ENTRY, LONGEST = 190, 48
 #: In `lead` mode a word without this mark has a space before it.
 _MARK = "\x01"
 _BREAK, _SPACES = f" \n {_MARK}", (" ", "\n")
@@ -32,9 +41,33 @@ _LEAD = re.compile(_TAIL)
 _BLANK = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETTER}{_DIGIT}]+")
 #: Characters that the patterns above and the library treat alike, white space and controls left out.
 _PLAIN = re.compile("[\\n\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
+#: A stop or comma after anything but a letter or digit, where it may belong to that sign's piece.
+_JOINED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ][.,]").search
+_ENDS = tuple((f"{x}{y}", f" {_MARK}{x}{y}", f" {x}{y}") for x in ",." for y in " \n")
 _CODERS: dict = {}
 
 
+class Kept(dict):
+    """What make(word) gives, kept in two generations of half of `room` bytes each."""
+
+    def __init__(self, make, room: int | None = None):
+        super().__init__()
+        self.make, self.half, self.held, self.old = make, (ROOM if room is None else room) // 2, 0, {}
+
+    def __missing__(self, word):
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+            if len(word) > LONGEST:
+                return out
+        self.held += len(word) + len(out) + ENTRY
+        if self.held > self.half:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[word] = out
+        return out
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable stand-ins of byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,36 +81,57 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = split == "lead"
-        self.known = self._table()
-
-    def _table(self) -> dict[str, bytes]:
-        """Ids of words and of the pieces of words, in one table."""
-        tokenize, stand_in, lead, library = self.tokenizer.model.tokenize, _byte_chars(), self.lead, self.library
-        find = (_LEAD if lead else _BLANK).findall
-
-        class Known(dict):
-            def model(self, piece: str) -> bytes:
-                return array("I", [t.id for t in tokenize(piece.encode().decode("latin1").translate(stand_in))]).tobytes()
-
-            def piece(self, piece: str) -> bytes:
-                unit = piece if not lead or piece == "\n" else piece[1:] if piece[0] == " " else _MARK + piece
-                if unit not in self:
-                    self[unit] = self.model(piece)
-                return self[unit]
-
-            def __missing__(self, unit: str) -> bytes:
-                word = unit if not lead or unit == "\n" else unit[1:] if unit[:1] == _MARK else " " + unit
-                if _PLAIN(word):
-                    pieces = find(word if lead else word.lower())
-                    out = self.model(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
-                else:
-                    out = library([word])[0]
-                self[unit] = out
-                return out
-
-        return Known({_MARK if lead else "": b""})
+        self.known = Kept(self._leading() if self.lead else self._blank())
+        self.get = self.known.__getitem__
+
+    def _model(self):
+        """Ids of one piece of Latin-1 characters, as the splitter leaves it."""
+        tokenize, stand_in = self.tokenizer.model.tokenize, _byte_chars()
+
+        def model(piece: str) -> bytes:
+            if not piece.isascii():
+                piece = piece.encode().decode("latin1").translate(stand_in)
+            elif not piece.isalpha():
+                piece = piece.translate(stand_in)
+            return array("I", [t.id for t in tokenize(piece)]).tobytes()
+
+        return model
+
+    def _leading(self):
+        """Ids of a word: one without _MARK stands for itself and the space before it."""
+        model, library = self._model(), self.library
+
+        def piece(found: str) -> bytes:
+            return self.get(found if found == "\n" else found[1:] if found[0] == " " else _MARK + found)
+
+        def make(unit: str) -> bytes:
+            if unit in ("", _MARK):
+                return b"" if unit else model(" ")
+            word = unit if unit == "\n" else unit[1:] if unit[0] == _MARK else " " + unit
+            if unit.isascii() and (unit.isalpha() or unit[0] == _MARK and word.isalpha()):
+                return model(word)
+            if not _PLAIN(word):
+                return library([word])[0]
+            pieces = _LEAD.findall(word)
+            return model(word) if len(pieces) == 1 else b"".join(map(piece, pieces))
+
+        return make
+
+    def _blank(self):
+        """Ids of a word between spaces."""
+        model, library = self._model(), self.library
+
+        def make(unit: str) -> bytes:
+            if unit.isascii() and unit.isalpha():
+                return model(unit.lower())
+            if not _PLAIN(unit):
+                return library([unit])[0]
+            pieces = _BLANK.findall(unit.lower())
+            return model(pieces[0]) if len(pieces) == 1 else b"".join(map(self.get, pieces))
+
+        return make
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,22 +142,23 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native 32-bit unsigned integers."""
-        if len(self.known) > ROOM:
-            self.known = self._table()
-        get, out = self.known.__getitem__, []
+        get, added, out = self.get, self.added, []
         for t in texts:
-            if not self.lead:
-                out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
-            elif self._odd(t):
+            if any(x in t for x in added) or self.lead and self._odd(t):
                 out += self.library([t])
-            else:
-                out.append(b"".join(map(get, (_MARK + t).replace("\n", _BREAK).split(" "))))
+                continue
+            if not _JOINED(t):
+                for end, marked, plain in _ENDS:
+                    t = t.replace(end, marked if self.lead else plain)
+            t = (_MARK + t).replace("\n", _BREAK) if self.lead else t.replace("\n", " ")
+            out.append(b"".join(map(get, t.split(" "))))
         return out
 
 
 def coder(path: str, split: str) -> Coder:
-    """One per worker process and vocabulary."""
+    """One per worker process, of the vocabulary asked for last."""
     if (path, split) not in _CODERS:
+        _CODERS.clear()
         _CODERS[path, split] = Coder(path, split)
     return _CODERS[path, split]
 

@@ -15,14 +15,13 @@ from dataspoor.llm.common import new_path
 
 def texts():
     r = random.Random(5)
-    odd = ["", " ", "  two  spaces ", "tab\tand\r\nline", "it's we'll I'D", "naïve café größe ²³ ½", "日本語 текст 😀 a😀b", "<|endoftext|> x", "\x00\x01\x02", "a b c", "word." * 50, "x" * 3000, "\n\nlead", "trail \n", "ǅ İ ß K", "1234567 12,3.4", "\x01 mark", "A\x85B"]
+    odd = ["", " ", "  two  spaces ", "tab\tand\r\nline", "it's we'll I'D", "naïve café größe ²³ ½", "日本語 текст 😀 a😀b", "<|endoftext|> x", "a <|endoftext|> b", "<|STARTOFTEXT|> c<|startoftext|>", "end. of, it,\nnow.\nlast.", "x_. y, *, z., w.", "½, é. ÿ, ·. ²,", "\x00\x01\x02", "a b c", "word." * 50, "x" * 3000, "\n\nlead", "trail \n", "ǅ İ ß K", "1234567 12,3.4", "\x01 mark", "A\x85B"]
     some = [" ".join(r.choice(["the", "of", "it's", "x1", "é", "Foo-bar", "“q”", "\n", "y,"]) for _ in range(r.randrange(40))) for _ in range(60)]
     return odd + some
 
 
 def library(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -33,6 +32,17 @@ def test_coders_equal_the_library():
             assert list(memoryview(own.encode([t])[0]).cast("I")) == theirs(t), (name, t)
 
 
+def test_tables_stay_within_their_bytes():
+    from dataspoor.llm.coding import ENTRY, Kept
+
+    made, kept = [], Kept(lambda w: made.append(w) or w.encode() * 4, room=20_000)
+    for k in range(3000):
+        assert kept[f"word{k}"] == f"word{k}".encode() * 4 and kept["often"] == b"often" * 4
+        assert sum(len(a) + len(b) + ENTRY for d in (kept, kept.old) for a, b in d.items()) <= 21_000
+    assert kept["x" * 5000] and "x" * 5000 not in kept
+    assert made.count("often") == 1
+
+
 def crc(ids):
     return zlib.crc32(array("I", ids).tobytes())
 
