@@ -9,7 +9,6 @@ choice is rejected.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,16 +17,19 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .coding import small_batches
 
-#: The sample that dictionaries are made of: rows a language, and characters a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
+#: The sample that dictionaries are made of: so many rows a language, all of which count.
+SAMPLE_ROWS = 400
+#: Characters that a row may bring: a longer text brings STRETCHES stretches from its start to its end.
+SAMPLE_CHARS, STRETCHES = 2048, 8
+#: Bytes of a dictionary, dealt among the sample's rows: what short rows leave, long rows share.
 DICTIONARY = 192 << 10
-LOTS = 128
+#: Rows are thinned to so many times the sample before they are ranked.
+THINNED = 4
 BLOCK = 8 << 10
 LEVEL = 6
 #: Share of the second smallest size that the smallest must lie below it.
 MARGIN = 0.005
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MODELS: dict = {}
 
 
@@ -36,24 +38,55 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _stretches(text: Column, chars: int) -> Column:
+    """A whole text of up to chars characters; of a longer one stretches dealt evenly from start to end."""
+    width, n = chars // STRETCHES, F.char_length(text)
+    at = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(text, (k * (n - width) / (STRETCHES - 1)).cast("int") + 1, F.lit(width)))
+    return F.when(n <= chars, text).otherwise(F.array_join(at, " "))
+
+
+def _shares(sizes: list[int], room: int) -> list[int]:
+    """How much of room each size gets: all of it if it asks for no more than the rest's even share."""
+    out = [0] * len(sizes)
+    for left, k in zip(range(len(sizes), 0, -1), sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[k] = min(sizes[k], room // left)
+        room -= out[k]
+    return out
+
+
+def _spread(data: bytes, size: int) -> bytes:
+    """data, or if it is longer than size, its stretches cut down alike."""
+    if len(data) <= size:
+        return data
+    width, n = size // STRETCHES, len(data)
+    return b"".join(data[k * (n - width) // (STRETCHES - 1) :][:width] for k in range(STRETCHES)) if width else data[:size]
+
+
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Dictionary of each non-null lang, most rows first, from a sample chosen by the id's hash.
+    """Dictionary of each non-null lang, most rows first, from a sample chosen by the hash of id and text.
 
-    docs: doc_id, text, lang; hand over the training fold only. rows and chars
-    bound what reaches the driver for a language; rows without text are left out.
+    docs: doc_id, text, lang; hand over the training fold only. rows bounds the
+    sample of a language and rows * chars what of it reaches the driver; every
+    row of the sample is in the dictionary. Rows without text are left out. The
+    model holds one dictionary for each language of the labels.
     """
-    seen = docs.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    ids = some.select("lang", "doc_id", F.xxhash64("doc_id").alias("key"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(LOTS)).alias("lot"))
-    for lot in (["lot"], []):  # a language's rows are first thinned in lots, so that no task ranks a whole language
-        order = Window.partitionBy("lang", *lot).orderBy("key", "doc_id")
-        ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).drop("n")
-    ids = ids.select("lang", "doc_id").distinct()
-    texts = some.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
-    out: dict[str, bytes] = {}
-    for r in sorted(texts, key=lambda r: (r["lang"], str(r["doc_id"]))):
-        out[r["lang"]] = out.get(r["lang"], b"") + r["text"].lower().encode() + b"\n"
-    return {r["lang"]: out[r["lang"]][:size] for r in sorted(seen, key=lambda r: (-r["n"], r["lang"])) if r["lang"] in out}
+    some = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    seen = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not seen:
+        return {}
+    thin = F.create_map(*[F.lit(x) for k, n in seen.items() for x in (k, min(1.0, THINNED * rows / n))])
+    key = F.xxhash64("doc_id", "text")
+    drawn = some.filter(F.shiftrightunsigned(key, 11) / float(1 << 53) < F.element_at(thin, F.col("lang")))
+    drawn = drawn.select("lang", key.alias("key"), F.lower(_stretches(F.col("text"), chars)).alias("text"))
+    ranked = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text")))
+    sample: dict[str, list[bytes]] = {}
+    for r in sorted(ranked.filter(F.col("n") <= rows).collect(), key=lambda r: (r["lang"], r["n"])):
+        sample.setdefault(r["lang"], []).append(r["text"].encode() + b"\n")
+    out = {}
+    for lang in sorted(sample, key=lambda k: (-seen[k], k)):
+        texts = sample[lang]
+        out[lang] = b"".join(_spread(t, n) for t, n in zip(texts, _shares([len(t) for t in texts], size)))
+    return out
 
 
 class Sizer:
@@ -70,7 +103,7 @@ class Sizer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin): margin 0 to 1; ties go to the first language of the model."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         data = text.lower().encode()
         blocks = [data[k : k + BLOCK] for k in range(0, len(data), BLOCK)]

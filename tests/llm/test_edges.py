@@ -78,5 +78,7 @@ def test_neighbours_odd_vectors(spark):
     got = neighbours.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()
     assert [(r.rank, r.vec_id, r.score) for r in got if r.query_id == 0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 8, 0.5), (4, 20, -1.0)]
     assert {r.query_id for r in got} == {0, 20}
+    wide = vectors(spark, rows).withColumns({c: F.lit(7) for c in ("v", "asks", "ord", "pivot", "side", "part", "top", "query_id", "score")})
+    assert neighbours.search(wide, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect() == got
     assert neighbours.search(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.search(vectors(spark, [(20, [1.0], 1)]), F.col("vec_id") % 20 == 0).count() == 0

@@ -32,6 +32,34 @@ def test_language_held_out_accuracy(spark):
     assert max(r.score for r in got) <= 1 and min(r.score for r in got) >= 0
 
 
+def test_every_sampled_row_is_in_the_dictionary(spark):
+    body = " ".join(["filler"] * 700)
+    rows = [(k, f"mark{k:04d}x {body}" if k % 3 == 0 else f"mark{k:04d}x short text", "en") for k in range(300)] + [(900, None, "en"), (901, "x", None)]
+    got = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=400, chars=2048, size=96 << 10)
+    assert set(got) == {"en"} and len(got["en"]) <= 96 << 10
+    assert all(f"mark{k:04d}x".encode() in got["en"] for k in range(300))
+    few = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=25)["en"]
+    assert sum(f"mark{k:04d}x".encode() in few for k in range(300)) == 25
+
+
+def test_predictions_equal_a_plain_twin():
+    import zstandard
+
+    made = {"aa": b"the cat sat on the mat and the dog lay on the rug " * 9, "bb": b"el gato estaba en la alfombra y el perro en el suelo " * 9}
+    sizer = language.Sizer(made)
+    for text in ["The cat and the dog", "el perro y el gato", "½ ² Ⅷ ① 12", "", None, "日本", "x", "THE MAT " * 5000]:
+        got = sizer.predict(text)
+        if not text or not any(c.isalpha() for c in text):
+            assert got == ("und", 0.0)
+            continue
+        data, sizes = text.lower().encode(), {}
+        for lang, d in made.items():
+            z = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes[lang] = sum(len(z.compress(data[k : k + language.BLOCK])) for k in range(0, len(data), language.BLOCK))
+        first, second = sorted(sizes.values())
+        assert got == (min(sizes, key=sizes.get), max(0.0, 1 - first / second))
+
+
 def test_neighbours_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
     v, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
@@ -51,6 +79,27 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_recall_on_many_segments_and_norms(spark):
+    r = np.random.default_rng(1)
+    n, centres, spans = 50_000, r.normal(size=(300, 32)), r.normal(size=(300, 6, 32))
+    at = r.integers(0, 300, n)
+    v = (centres[at] + 0.25 * np.einsum("nk,nkd->nd", r.normal(size=(n, 6)), spans[at])) * np.exp(0.5 * r.normal(size=(n, 1)))
+    v[n - 40 :] = v[:40]
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for h in neighbours.search(rows, F.col("vec_id") % 250 == 0).collect():
+        found.setdefault(h.query_id, {})[h["rank"]] = (h.vec_id, h.score)
+    hits = 0
+    for q in range(0, n, 250):
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(n), -s))[:20]
+        mine = [found[q][k] for k in range(1, 21)]
+        assert mine == sorted(mine, key=lambda x: (-x[1], x[0])) and all(abs(x - s[k]) < 1e-9 for k, x in mine)
+        hits += len({k for k, _ in mine} & set(best.tolist()))
+    assert hits >= 0.9 * 20 * len(found) and len(found) == 200
+
+
 def test_only_the_training_fold_is_learned(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(~language.held_out(F.col("doc_id")))
     assert set(language.learn(docs)) == {"de", "en", "es", "fr"}
