@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut, shared_dir
 
-__all__ = ["SPACE", "WORD", "cut", "let", "new_path", "shared_dir", "table"]
+__all__ = ["SPACE", "WORD", "cut", "let", "new_path", "shared_dir", "table", "unused"]
 #: A run of the six ASCII white-space characters, for Java's and Python's regexes.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,3 +30,14 @@ def new_path(spark: SparkSession, what: str) -> str:
 def let(value, body):
     """body(value) with value computed once per row: a lambda's variable holds it."""
     return F.transform(F.array(value), body)[0]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores before it as no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        out.append(name)
+    return out

@@ -3,91 +3,127 @@
 Only how many pieces there are of each length matters for the packing, and
 lengths are at most the capacity: the driver gets that histogram (2048 numbers
 at most, whatever the corpus). Bin completion runs on it: around the largest
-remaining length the undominated fillings of the gap are enumerated, each is
-applied as often as its lengths last, and a branch whose waste exceeds what the
-incumbent allows is cut. The plan is a list of patterns with multiplicities,
-which pieces then find by their rank among the pieces of their length.
+remaining length all undominated fillings of the gap are enumerated, those of
+least waste first, each as often as its lengths last or fewer times, and a branch
+whose waste exceeds what the incumbent allows is cut. Which sums the remaining
+lengths reach is known by bit sets, so the enumeration has no dead ends. The plan
+is a list of patterns with multiplicities, which pieces then find by their rank
+among the pieces of their length.
+
+The incumbent is returned when it meets a lower bound, when all branches are
+done, or after `nodes` nodes; with nodes=None the search is exact.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .coding import coder, small_batches
-from .common import cut
+from .common import cut, unused
 
 CAPACITY = 2048
-#: Ranks within one length are taken in so many parts, so that one length may hold most rows.
-PARTS = 64
-#: Nodes that the search may open; the incumbent stands when they are used up.
-NODES = 4000
+#: Ranks within one length are taken in parts of so many pieces, or of a 65,536th of all where that is more.
+PART_ROWS, MOST_PARTS = 4096, 1 << 16
+#: Nodes that the search opens before the incumbent stands; None: as many as there are.
+NODES: int | None = 4000
+
+Pattern = tuple[int, ...]
+Plan = list[tuple[Pattern, int]]
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences needed at least: by the total, and by large pieces that can't share with each other."""
+    total = sum(x * n for x, n in counts.items())
+    best, sizes = -(-total // capacity), sorted(counts)
+    for least in [x for x in sizes if 2 * x <= capacity]:
+        alone = sum(counts[x] for x in sizes if x > capacity - least)
+        paired = [x for x in sizes if capacity < 2 * x and x <= capacity - least]
+        n, room = sum(counts[x] for x in paired), sum(counts[x] * (capacity - x) for x in paired)
+        small = sum(x * counts[x] for x in sizes if least <= x and 2 * x <= capacity)
+        best = max(best, alone + n + max(0, -(-(small - room) // capacity)))
+    return max(best, sum(n for x, n in counts.items() if 2 * x > capacity))
+
+
+def _reached(counts: dict[int, int], sizes: list[int], gap: int) -> list[int]:
+    """For each k the bit set of the sums up to gap of pieces of the k smallest lengths."""
+    full, out = (1 << gap + 1) - 1, [1]
+    for x in sizes:
+        bits, left, step = out[-1], min(counts[x], gap // x), 1
+        while left and bits != full:
+            take = min(step, left)
+            bits |= bits << take * x & full
+            left, step = left - take, step * 2
+        out.append(bits)
+    return out
 
 
-def _dominated(small: tuple, by: tuple) -> bool:
-    """Whether the items of `small` fit into the items of `by` as bins."""
-    if not small:
-        return True
-    head, rest = small[0], small[1:]
-    tried = set()
-    for k, room in enumerate(by):
-        if room >= head and room not in tried:
-            tried.add(room)
-            if _dominated(rest, tuple(sorted((*by[:k], *by[k + 1 :], room - head), reverse=True))):
-                return True
-    return False
+def _exactly(counts: dict[int, int], sizes: list[int], reached: list[int], target: int, most: int) -> Iterator[Pattern]:
+    """All fillings that sum to target by the `most` smallest lengths, the largest pieces first."""
+    if target == 0:
+        yield ()
+        return
+    for k in range(min(most, bisect_right(sizes, target)) - 1, -1, -1):
+        x = sizes[k]
+        if not reached[k + 1] >> target & 1:
+            return
+        for n in range(min(counts[x], target // x), 0, -1):
+            if reached[k] >> target - n * x & 1:
+                for rest in _exactly(counts, sizes, reached, target - n * x, k):
+                    yield (x,) * n + rest
 
 
-def fillings(counts: dict[int, int], sizes: list[int], gap: int, most: int = 3, width: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of gap, least waste first: up to `most` lengths each, `width` kept.
+def _dominated(filling: Pattern, waste: int, counts: dict[int, int], free: int) -> bool:
+    """Whether a length that is left fits beside the filling, or stands for some of its pieces without more than the waste.
 
-    sizes: ascending lengths with counts over 0. A single length that fills the
-    gap dominates all else.
+    free: bit set of the lengths left. A filling is dominated by another one just
+    if it is by such an exchange.
     """
-    found: list[tuple[int, ...]] = []
-
-    def largest(limit: int) -> int:
-        return bisect_right(sizes, limit) - 1
-
-    def free(item: int, taken: tuple) -> bool:
-        return counts[item] > taken.count(item)
-
-    first = largest(gap)
-    if first < 0:
-        return [()]
-    if sizes[first] == gap:
-        return [(gap,)]
-    for a in range(first, max(-1, first - 24), -1):
-        x = sizes[a]
-        best, left = (x,), gap - x
-        for _ in range(most - 1):
-            k = min(largest(left), a)
-            while k >= 0 and not free(sizes[k], best):
-                k -= 1
-            if k < 0:
-                break
-            best, left = (*best, sizes[k]), left - sizes[k]
-        found.append(best)
-        if left == 0:
-            break
-    found.sort(key=lambda f: (gap - sum(f), len(f), [-x for x in f]))
-    kept: list[tuple[int, ...]] = []
-    for f in found:
-        if f not in kept and not any(_dominated(f, g) for g in kept):
-            kept.append(f)
-        if len(kept) == width:
-            break
-    return kept
-
-
-def _times(counts: dict[int, int], pattern: tuple[int, ...]) -> int:
+    free_bits = free
+    for x in set(filling):
+        if counts[x] <= filling.count(x):
+            free_bits &= ~(1 << x)
+    if free_bits & (1 << waste + 1) - 2:  # a length that still fits beside the filling
+        return True
+    one = two = 0
+    for x in filling:  # sums of one piece, and of two or more
+        two |= (one | two) << x
+        one |= 1 << x
+    spread, width = two, 1
+    while width <= waste:
+        step = min(width, waste + 1 - width)
+        spread |= spread << step
+        width += step
+    if free_bits & spread:
+        return True
+    above, width = one << 1, 1
+    while waste and width < waste:
+        step = min(width, waste - width)
+        above |= above << step
+        width += step
+    return bool(waste and free_bits & above)
+
+
+def fillings(counts: dict[int, int], gap: int, waste: int | None = None) -> Iterator[Pattern]:
+    """All undominated fillings of gap that leave no more than waste, least first, then those of the largest pieces."""
+    sizes = [x for x in sorted(counts) if counts[x] and x <= gap]
+    reached, free = _reached(counts, sizes, gap), sum(1 << x for x in sizes)
+    for lost in range(min(gap, gap if waste is None else waste) + 1):
+        if reached[-1] >> gap - lost & 1:
+            for f in _exactly(counts, sizes, reached, gap - lost, len(sizes)):
+                if not _dominated(f, lost, counts, free):
+                    yield f
+
+
+def _times(counts: dict[int, int], pattern: Pattern) -> int:
     return min(counts[x] // pattern.count(x) for x in set(pattern))
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Patterns: the largest remaining length, then always the longest that still fits."""
     counts = dict(counts)
     sizes = sorted(counts)
@@ -111,41 +147,67 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used; never more sequences than best fit needs."""
-    total = sum(k * n for k, n in histogram.items())
-    bound = -(-total // capacity)
+def _less(counts: dict[int, int], pattern: Pattern, n: int) -> dict[int, int]:
+    rest = dict(counts)
+    for x in set(pattern):
+        rest[x] -= n * pattern.count(x)
+        if not rest[x]:
+            del rest[x]
+    return rest
+
+
+def _branches(counts: dict[int, int], capacity: int, waste: int, after: tuple | None) -> Iterator[tuple[Pattern, int]]:
+    """(pattern, times) around the largest length: most times first, then halves, then all other numbers.
+
+    after: order of the pattern that the same length took before; equal lengths
+    take theirs in order, so that no set of sequences is met twice.
+    """
+    top = max(counts)
+    for f in fillings(_less(counts, (top,), 1), capacity - top, waste):
+        if after is not None and (capacity - top - sum(f), [-x for x in f]) <= (after[0], after[1]):
+            continue
+        pattern = (top, *f)
+        most = min(_times(counts, pattern), waste // lost if (lost := capacity - sum(pattern)) else 1 << 62)
+        first = [most >> k for k in range(most.bit_length())]
+        yield from ((pattern, n) for n in first)
+        yield from ((pattern, n) for n in range(most, 0, -1) if n not in first)
+
+
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> Plan:
+    """Patterns and how often each is used; never more sequences than best fit needs, and the fewest with nodes=None."""
+    total = sum(x * n for x, n in histogram.items())
+    bound = lower_bound(histogram, capacity)
     best = best_fit(histogram, capacity)
     bins = sum(n for _, n in best)
-    # Depth first without recursion: a frame holds what is left, what was used, and its fillings to come.
-    frames = [[dict(histogram), [], 0, 0, None]]
-    while frames and bins > bound and nodes > 0:
-        counts, used, n_bins, waste, branches = frames[-1]
-        if not counts:
-            if n_bins < bins:
-                bins, best = n_bins, used
-            frames.pop()
-            continue
-        if branches is None:
-            nodes -= 1
-            sizes = sorted(counts)
-            top = sizes[-1]
-            counts_without = counts | {top: counts[top] - 1}
-            branches = frames[-1][4] = [(top, *f) for f in reversed(fillings(counts_without, [s for s in sizes if counts_without[s]], capacity - top))]
-        if not branches:
+
+    def spare() -> int:
+        """Waste of a plan with one sequence less."""
+        return (bins - 1) * capacity - total
+
+    # Depth first without recursion: a frame holds what is left, the sequences and the waste so far, and its branches to come.
+    used: Plan = []
+    frames = [(dict(histogram), 0, 0, _branches(histogram, capacity, spare(), None))] if bins > bound else []
+    opened = 1
+    while frames and bins > bound and (nodes is None or opened <= nodes):
+        counts, n_bins, waste, branches = frames[-1]
+        pattern, n = next(branches, ((), 0))
+        if not n:
             frames.pop()
+            if used:
+                used.pop()
             continue
-        pattern = branches.pop()
-        n = _times(counts, pattern)
         lost = waste + n * (capacity - sum(pattern))
-        if lost > (bins - 1) * capacity - total:
+        if lost > spare():
             continue
-        rest = dict(counts)
-        for x in set(pattern):
-            rest[x] -= n * pattern.count(x)
-            if not rest[x]:
-                del rest[x]
-        frames.append([rest, [*used, (pattern, n)], n_bins + n, lost, None])
+        rest = _less(counts, pattern, n)
+        if not rest:
+            bins, best = n_bins + n, [*used, (pattern, n)]
+            continue
+        same = rest.get(pattern[0]) is not None
+        after = (capacity - sum(pattern), [-x for x in pattern[1:]]) if same and n < _times(counts, pattern) else None
+        used.append((pattern, n))
+        frames.append((rest, n_bins + n, lost, _branches(rest, capacity, spare() - lost, after)))
+        opened += 1
     return best
 
 
@@ -194,28 +256,35 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, split: str = "
     return rows.mapInArrow(_cutter(vocabulary, split, end_id, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset, each piece placed once.
 
     Lengths must be 1..capacity. Repeated rows are placed one by one. Without
-    rows the result has none. `pieces` is read twice; hand over a written table.
+    rows the result has none. A piece of the whole capacity is a sequence of its
+    own, numbered below 0, and is not moved. `pieces` is read three times; hand
+    over a written table.
     """
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS))
-    rows = pieces.withColumn("__part", part)
-    sizes = rows.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("n")).collect()  # PARTS times capacity rows at most
-    histogram: dict[int, int] = {}
-    bases = []
-    for r in sorted(sizes, key=lambda r: (r["length"], r["__part"])):
-        bases.append((r["length"], r["__part"], histogram.get(r["length"], 0)))
-        histogram[r["length"]] = bases[-1][2] + r["n"]
-    plan = spark.createDataFrame(places(bin_completion(histogram, capacity, nodes)), "length long, lo long, hi long, first long, copies long, at long")
-    base = spark.createDataFrame(bases, "length long, __part long, __base long")
-    order = Window.partitionBy("length", "__part").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
-    ranked = rows.withColumn("__row", F.row_number().over(order).cast("long") - 1).join(F.broadcast(base), ["length", "__part"]).withColumn("__rank", F.col("__base") + F.col("__row"))
-    p, k = F.broadcast(plan.withColumnRenamed("length", "__length")), F.col("__rank") - F.col("lo")
-    placed = ranked.join(p, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    return placed.select(*[F.col(c) for c in pieces.columns], (F.col("first") + F.floor(k / F.col("copies"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(k, F.col("copies")) * F.col("length")).alias("offset"))
+    part, rank, row, base_, key = unused(pieces, "part", "rank", "row", "base", "key")
+    whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    short = pieces.filter(F.col("length") < capacity)
+    histogram = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    room = max(PART_ROWS, -(-sum(histogram.values()) // MOST_PARTS))
+    parts = spark.createDataFrame([(x, -(-n // room)) for x, n in histogram.items()], f"{key} int, n_parts int")
+    dealt = short.join(F.broadcast(parts), F.col("length") == F.col(key)).withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), F.col("n_parts")).cast("int")).drop(key, "n_parts")
+    sizes = dealt.groupBy("length", part).agg(F.count(F.lit(1)).alias("n")).collect()  # MOST_PARTS plus capacity rows at most
+    bases, seen = [], dict.fromkeys(histogram, 0)
+    for x, p, n in sorted(sizes):
+        bases.append((x, p, seen[x]))
+        seen[x] += n
+    plan = spark.createDataFrame(places(bin_completion(histogram, capacity, nodes)), f"{key} long, lo long, hi long, first long, copies long, at long")
+    base = spark.createDataFrame(bases, f"length long, {part} int, {base_} long")
+    order = Window.partitionBy("length", part).orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
+    ranked = dealt.withColumn(row, F.row_number().over(order).cast("long") - 1).join(F.broadcast(base), ["length", part]).withColumn(rank, F.col(base_) + F.col(row))
+    k = F.col(rank) - F.col("lo")
+    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col(key)) & (F.col(rank) >= F.col("lo")) & (F.col(rank) < F.col("hi")))
+    placed = placed.select(*[F.col(c) for c in pieces.columns], (F.col("first") + F.floor(k / F.col("copies"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(k, F.col("copies")) * F.col("length")).alias("offset"))
+    return placed.unionByName(whole)
 
 
 def op9_bin_completion(spark, sf_dir: str) -> DataFrame:

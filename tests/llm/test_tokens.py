@@ -3,9 +3,12 @@
 import random
 import zlib
 from array import array
+from collections import Counter
+from itertools import combinations
 
 import public_tokenizers
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dataspoor.llm import packing, pieces, token_store
@@ -131,16 +134,53 @@ def test_bin_completion_is_optimal_on_small_cases():
         return best[0]
 
     r = random.Random(9)
-    for _ in range(60):
-        items = [r.randrange(1, 13) for _ in range(r.randrange(1, 10))]
-        hist: dict = {}
-        for x in items:
-            hist[x] = hist.get(x, 0) + 1
-        plan = packing.bin_completion(hist, 12)
-        assert sum(n for _, n in plan) == exact(items, 12)
-        used: dict = {}
-        for pattern, n in plan:
-            assert sum(pattern) <= 12
-            for x in pattern:
-                used[x] = used.get(x, 0) + n
-        assert used == hist
+    for cap, most, n in ((12, 13, 60), (30, 24, 60), (100, 70, 25)):
+        for _ in range(n):
+            items = [r.randrange(1, most) for _ in range(r.randrange(1, 13))]
+            hist = Counter(items)
+            plan = packing.bin_completion(hist, cap, None)
+            assert sum(n for _, n in plan) == exact(items, cap) >= packing.lower_bound(hist, cap)
+            assert used(plan, cap) == hist
+
+
+def used(plan, capacity):
+    out: Counter = Counter()
+    for pattern, n in plan:
+        assert sum(pattern) <= capacity
+        for x in pattern:
+            out[x] += n
+    return out
+
+
+def test_fillings_are_all_undominated_ones():
+    def fits(small, big):
+        return not small or any(b >= small[0] and fits(small[1:], [*big[:k], b - small[0], *big[k + 1 :]]) for k, b in enumerate(big))
+
+    r = random.Random(3)
+    for _ in range(150):
+        hist, gap = Counter(r.randrange(1, 12) for _ in range(r.randrange(1, 8))), r.randrange(1, 20)
+        every = {f for n in range(sum(hist.values()) + 1) for f in combinations(sorted(hist.elements(), reverse=True), n) if sum(f) <= gap}
+        best = {f for f in every if not any(f != g and fits(list(f), list(g)) for g in every)}
+        got = list(packing.fillings(hist, gap))
+        assert sorted(got) == sorted(best) and [gap - sum(f) for f in got] == sorted(gap - sum(f) for f in got)
+
+
+def test_perfect_packings_are_found():
+    r = random.Random(4)
+    for n in [30] * 8 + [40] * 8 + [200]:
+        hist: Counter = Counter()
+        for _ in range(n):
+            at = sorted(r.sample(range(1, 2048), r.randrange(2, 8)))
+            hist.update(b - a for a, b in zip([0, *at], [*at, 2048]))
+        plan = packing.bin_completion(hist)
+        assert sum(k for _, k in plan) == n == packing.lower_bound(hist, 2048)
+        assert used(plan, 2048) == hist
+
+
+def test_one_length_that_fills_most_rows(spark):
+    pieces = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") < 9000, 2048).when(F.col("id") < 19_000, 700).otherwise(F.col("id") % 650 + 1).cast("long").alias("length"))
+    got = packing.pack(pieces.withColumn("part", F.lit(3)), nodes=50)
+    assert got.columns == ["doc_id", "piece", "length", "part", "sequence_id", "offset"] and got.count() == 20_000
+    by = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("p"))
+    for n, p in by.select("n", "p").collect():
+        assert n <= 2048 and [x["offset"] for x in p] == [sum(y["length"] for y in p[:k]) for k in range(len(p))]
