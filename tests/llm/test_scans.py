@@ -24,6 +24,55 @@ def test_base_places_and_fuzzy_spans(spark):
     assert got[7].labels == ""
 
 
+def plain(marked):
+    return marked.replace("[", "").replace("]", "")
+
+
+def test_no_notice_is_taken_for_another():
+    scanner = licenses.Scanner()
+    for label, marked in licenses.NOTICES:
+        text, telling = plain(marked), " ".join(re.findall(r"\[(.*?)\]", marked)).split()
+        assert {s[0] for s in scanner.scan(f"so it is {text} here")[2]} == {label}, text
+        for other, theirs in licenses.NOTICES:
+            words = " ".join(re.findall(r"\[(.*?)\]", theirs)).split()
+            if other != label and words != telling:
+                swapped = re.sub(r"\[.*?\]", " ".join(words), marked, count=1)
+                assert label not in {s[0] for s in scanner.scan(f"so it is {plain(swapped)} here")[2]}, (label, swapped)
+    for text, want in {"licensed under CC BY-SA 4.0": "cc-by-sa", "CC BY-ND 4.0, licensed under CC BY-ND 4.0": "cc-by-nd", "released under the MPL license": "mpl", "licensed under the BSL license": "bsl", "licensed under the QPL license": None, "released under the MIT Lisense": "mit", "licensed under the Apach License, version 2.0": "apache", "All rights reserved": "reserved"}.items():
+        assert {s[0] for s in scanner.scan(text)[2]} == ({want} if want else set()), text
+
+
+def test_fuzzy_labels_equal_an_exhaustive_search():
+    """Sellers' table over the whole text instead of seeds and the regex library."""
+
+    def least(notice, text):
+        row = list(range(len(notice) + 1))
+        best = row[-1]
+        for c in text:
+            last, row[0] = row[0], 0
+            for j, x in enumerate(notice, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != c))
+            best = min(best, row[-1])
+        return best
+
+    r, scanner, seen = np.random.default_rng(7), licenses.Scanner(), [0, 0]
+    for _ in range(250):
+        label, marked = licenses.NOTICES[r.integers(len(licenses.NOTICES))]
+        parts = re.split(r"(\[.*?\])", marked)
+        for _ in range(r.integers(0, len(marked) // 9 + 2)):
+            k = 2 * r.integers(0, len(parts) // 2 + 1)
+            if len(parts[k]) > 2:
+                at, c = r.integers(1, len(parts[k]) - 1), "qxj"[r.integers(3)]
+                parts[k] = parts[k][:at] + [c, "", c + parts[k][at]][r.integers(3)] + parts[k][at + 1 :]
+        text = f"we say that {plain(''.join(parts))} and that is all"
+        within = any(least(plain(m), f" {text} ") <= len(plain(m)) // licenses.CHARS_PER_EDIT for x, m in licenses.NOTICES if x == label)
+        own = least(plain(marked), f" {text} ") <= len(plain(marked)) // licenses.CHARS_PER_EDIT
+        got = label in {s[0] for s in scanner.scan(text)[2]}
+        assert got <= within and own <= got, (label, text)
+        seen[got] += 1
+    assert min(seen) > 20
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.op2_zstd_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'").collect()
