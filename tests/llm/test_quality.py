@@ -32,7 +32,7 @@ def test_base_counts(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == {d: base(t) for d, t in rows}
 
 
-def test_order_by_rejections_per_work_keeps_the_verdict(spark):
+def test_order_by_rejections_per_second_keeps_the_verdict(spark):
     df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     rules = q.production_rules()
     planned = q.plan_order(df, rules)
@@ -40,5 +40,19 @@ def test_order_by_rejections_per_work_keeps_the_verdict(spark):
     forth = {r.doc_id for r in df.filter(q.rejected_by(rules).isNull()).select("doc_id").collect()}
     back = {r.doc_id for r in df.filter(q.rejected_by(planned[::-1]).isNull()).select("doc_id").collect()}
     assert forth == back == {r.doc_id for r in q.quality_cascade(df).filter("rejected_by is null").select("doc_id").collect()}
-    hit = [q.Rule("never", F.lit(False), F.lit(1)), q.Rule("dear", F.lit(True), F.lit(100)), q.Rule("cheap", F.lit(True), F.lit(1))]
-    assert [r.name for r in q.plan_order(df, hit)][0] == "cheap"
+
+
+def test_order_follows_measured_costs(spark):
+    df = spark.createDataFrame([(k, "some words to read " * 400) for k in range(400)], "doc_id long, text string")
+    dear = F.length(F.regexp_replace("text", "(s|w|r)(.?)(e|d)", "$3$1")) > 0
+    rules = [q.Rule("never", F.lit(False)), q.Rule("dear", dear), q.Rule("cheap", F.length("text") > 0)]
+    assert [r.name for r in q.plan_order(df, rules)] == ["cheap", "dear", "never"] or [r.name for r in q.plan_order(df, rules)] == ["cheap", "never", "dear"]
+    seen = [((True, False, False), 10), ((True, True, False), 50), ((False, False, True), 30)]
+    assert [r.name for r in q.ordered([q.Rule(x, F.lit(x)) for x in "abc"], [4.0, 1.0, 1.0], seen)] == ["b", "c", "a"]
+
+
+def test_the_sample_is_small_and_spread(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(40_000).selectExpr("id", "concat('text ', id) AS text").repartition(16).write.parquet(path)
+    got = q.sample_of(spark.read.parquet(path).select("text"), 800)
+    assert 400 < got.count() <= 800
