@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
+from .common import WORD, cut, let, unused
 
 #: Words that a repeated run holds at least.
 MIN_WORDS = 50
@@ -133,18 +133,19 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     together; ids are integers. An empty table stays empty. Input columns named
     n_lines or n_removed are replaced, all others kept.
     """
-    text = F.col(text_col)
-    cuts = repeated_runs(docs, min_words, id_col, text_col).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("__cuts"))
-    keyed = docs.drop("n_lines", "n_removed").withColumns({"__id": _id(docs, id_col), "__dg": F.xxhash64(text)})
-    joined = keyed.join(cuts.withColumnsRenamed({"id": "__id", "dg": "__dg"}), ["__id", "__dg"], "left")
-    gone, n = F.col("__cuts"), F.size("__cuts")
+    kept = docs.drop("n_lines", "n_removed")
+    at, dg, cuts, left = unused(docs, "id", "dg", "cuts", "left")
+    text, gone, n = F.col(text_col), F.col(cuts), F.size(cuts)
+    found = repeated_runs(docs.select(id_col, text_col), min_words, id_col, text_col).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias(cuts))
+    keyed = kept.withColumns({at: _id(docs, id_col), dg: F.xxhash64(text)})
+    joined = keyed.join(found.withColumnsRenamed({"id": at, "dg": dg}), [at, dg], "left")
     begin = lambda j: F.coalesce(F.get(gone, j - 1)["e"], F.lit(0))
     stays = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), n), lambda j: F.slice(lines, begin(j) + 1, F.coalesce(F.get(gone, j)["s"], F.size(lines)) - begin(j))))
-    left = F.when(gone.isNull(), text).otherwise(let(lines_of(text), lambda lines: F.array_join(stays(lines), "\n")))
+    rest = F.when(gone.isNull(), text).otherwise(let(lines_of(text), lambda lines: F.array_join(stays(lines), "\n")))
     worded = let(lines_of(text), lambda x: F.size(x) - F.when(F.get(x, 0).rlike(r"[^\x20\x09-\x0D]"), 0).otherwise(1))
     removed = F.aggregate(gone, F.lit(0), lambda a, x: a + x["e"] - x["s"])
-    out = joined.withColumns({"n_lines": F.coalesce(worded, F.lit(0)).cast("long"), "n_removed": F.coalesce(removed, F.lit(0)).cast("long"), "__left": left})
-    return out.select(*[F.col("__left").alias(c) if c == text_col else F.col(c) for c in keyed.columns if c not in ("__id", "__dg")], "n_lines", "n_removed")
+    out = joined.withColumns({"n_lines": F.coalesce(worded, F.lit(0)).cast("long"), "n_removed": F.coalesce(removed, F.lit(0)).cast("long"), left: rest})
+    return out.select(*[F.col(left).alias(c) if c == text_col else F.col(c) for c in kept.columns], "n_lines", "n_removed")
 
 
 def op1_suffix_lines(spark, sf_dir: str) -> DataFrame:

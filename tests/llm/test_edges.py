@@ -54,13 +54,56 @@ def all_ops():
     }
 
 
+def same(rows):
+    return sorted(map(repr, rows))
+
+
 @pytest.mark.parametrize("name", list(all_ops()))
 def test_odd_rows_and_clashing_columns(spark, name):
     run = all_ops()[name]
     plain, extra = run(docs(spark)), run(wide(spark))
-    n = len({r[0] for r in ROWS}) if name == "packing" else len(ROWS)
-    assert plain.count() == n
-    assert extra.count() == n
+    rows = plain.collect()
+    assert len(rows) == (len({r[0] for r in ROWS}) if name == "packing" else len(ROWS))
+    own = [c for c in plain.columns if name != "quality" or c != "rejected_by"]  # which of several rules gets the credit isn't set
+    assert same(plain.select(*own).collect()) == same(extra.select(*own).collect())
+    kept = [c for c in CLASH if c in extra.columns and c not in plain.columns]
+    assert all(r[c] == 7 for r in extra.select(*kept).collect() for c in kept)
+    if name in ("line_dedup", "language", "quality"):
+        assert set(CLASH) <= {*plain.columns, *extra.columns}
+
+
+def values(name, spark, column):
+    """Values of a column by (doc_id, text)."""
+    out: dict = {}
+    for r in all_ops()[name](docs(spark)).collect():
+        out.setdefault((r.doc_id, r.text) if "text" in r else r.doc_id, set()).add(r[column])
+    return out
+
+
+def test_values_of_odd_rows(spark):
+    kept = {k for k, v in values("quality", spark, "rejected_by").items() if v == {None}}
+    assert {d for d, _ in kept} == {None, 4, 5, 7}  # 6 repeats itself
+    lang = values("language", spark, "lang_pred")
+    assert lang[1, None] == lang[2, ""] == lang[3, " \n\t "] == {"und"} and lang[4, PROSE] == {"en"} == lang[6, LONG] and lang[7, ROWS[8][1]] == {"es"}
+    removed = values("line_dedup", spark, "n_removed")
+    assert all(v == {0} for v in removed.values()) and values("line_dedup", spark, "n_lines")[6, LONG] == {3000}
+    component = values("near_dedup", spark, "component_id")
+    assert component[4] == component[5] == component[None] == {4} and component[1] == {1} and component[6] == {6}
+    assert values("near_dedup", spark, "n_shingles")[1] == values("near_dedup", spark, "n_shingles")[3] == {0}
+    tokens = values("token_store", spark, "n_tokens")
+    assert tokens[1] == tokens[2] == {1} and values("token_store", spark, "start")[None] == {0}
+    pieces_ = values("pieces", spark, "n_pieces")
+    assert pieces_[1] == pieces_[2] == {0} and len(pieces_[4]) == 1
+    labels = values("licenses", spark, "labels")
+    assert labels[8] == {"mit"} and labels[1] == labels[2] == labels[4] == {""}
+    size = values("sharding", spark, "size")
+    assert size[1] == size[2] == {16} and size[4] == {16 + len(PROSE)}
+    assert values("packing", spark, "n")[1] == {1}
+
+
+def test_long_repeated_lines_go_in_every_later_copy(spark):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_repeats(docs(spark, [(1, LONG, None), (2, LONG + "\nand one more line", None), (3, None, None)]).withColumn("__id", F.lit(5))).collect()}
+    assert got == {1: (3000, 0, LONG), 2: (3001, 3000, "and one more line"), 3: (0, 0, None)}
 
 
 @pytest.mark.parametrize("name", list(all_ops()))
@@ -82,3 +125,23 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.search(wide, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect() == got
     assert neighbours.search(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     assert neighbours.search(vectors(spark, [(20, [1.0], 1)]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(d, t, lang, "s", len(t or "")) for d, t, lang in ROWS]
+    names = ["rejected_by", "score", "lang_pred", "rejected", "n_lines", "n_removed", "__id", "__kept", "_kept0", "kept", "N_LINES2"]
+    for made in (rows, []):
+        plain = spark.createDataFrame(made, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            wide = plain.withColumns({c: F.lit(f"own {c}") for c in names})
+            out = stage(spark, wide, "")
+            assert out.columns == wide.columns
+            got = out.collect()
+            assert all(r[c] == f"own {c}" for r in got for c in names)
+            assert same(out.select(*plain.columns).collect()) == same(stage(spark, plain, "").collect()), name
+            assert bool(got) == bool(made)
+        last = corpus_pipeline.STAGES[-1][1](spark, plain, "")
+        assert last.count() >= len(made) and last.agg(F.sum("length")).first()[0] != 0
