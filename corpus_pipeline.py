@@ -11,37 +11,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataspoor.llm.common import new_path
+from dataspoor.llm.common import new_path, unused
 from dataspoor.llm.language import held_out, identify, learn
 from dataspoor.llm.line_dedup import remove_repeats
 from dataspoor.llm.near_dedup import near_duplicates
 from dataspoor.llm.packing import pack_documents
 from dataspoor.llm.quality import quality_cascade
 
+#: Columns that the operators read; all others pass through a stage under names that no operator uses.
+READ = ("doc_id", "text", "lang", "n_chars")
+
+
+def apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with every column but READ renamed, and the columns that give the old names back."""
+    others = [c for c in docs.columns if c not in READ]
+    named = dict(zip(others, unused(docs, *[f"kept{k}" for k in range(len(others))])))
+    return docs.withColumnsRenamed(named), [F.col(named.get(c, c)).alias(c) for c in docs.columns]
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return quality_cascade(docs).filter(F.col("rejected_by").isNull()).select(*docs.columns)
+    rows, back = apart(docs)
+    return quality_cascade(rows).filter(F.col("rejected_by").isNull()).select(*back)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found by more than the margin."""
-    model = learn(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    rows, back = apart(docs)
+    model = learn(rows.filter(~held_out(F.col("doc_id"))))
+    return identify(rows, model).filter(~F.col("rejected")).select(*back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated runs; documents that were nothing else go."""
-    left = remove_repeats(docs).filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    rows, back = apart(docs)
+    left = remove_repeats(rows).filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select(*back)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    (key,) = unused(docs, "kept")
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
