@@ -12,9 +12,11 @@
    band, that it shares most bands with. A group of near copies, of
    any size, becomes one component by as many comparisons as it has classes.
 5. Bands that then hold two components or more are open: their classes hang
-   together in groups, a group goes to blocks of BLOCK classes, and each pair of
-   blocks is one piece of work: exact intersections of full sets for all its pairs
-   by matrix products, of which a spanning forest is returned. Blocks of one large
+   together in groups. A group of up to BLOCK classes is one piece of work: exact
+   intersections of full sets for all its pairs by matrix products, of which a
+   spanning forest is returned. In a larger group only classes that share a band
+   meet: each of its bands, those with equal members once, goes to blocks of BLOCK
+   classes, and each pair of blocks is one piece of work. Blocks of one large
    component aren't compared with each other.
 6. Union-find over all verified links gives components. A pair that shares a band
    is either compared or already in one component, so no component is missed.
@@ -36,8 +38,8 @@ BANDS, ROWS = 24, 5
 PERCENT = 85
 #: Classes in a block; two blocks meet in one piece of work.
 BLOCK = 384
-#: Word hashes kept per worker.
-ROOM = 500_000
+#: Word hashes kept per worker, of words of so many bytes at most.
+ROOM, LONGEST = 500_000, 64
 _COLUMNS = 4096
 #: Key of the blocks that small components share; no id is taken to be this.
 _MIXED = -(1 << 63)
@@ -45,7 +47,9 @@ _MIXED = -(1 << 63)
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 
@@ -67,9 +71,12 @@ def shingles(text: str | None):
     import numpy as np
 
     words = (text or "").encode().lower().split()
-    if len(_HASHES) > ROOM:
-        _HASHES.clear()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.empty(len(words), np.uint64)
+    for k in range(0, len(words), ROOM):
+        if len(_HASHES) > ROOM:
+            _HASHES.clear()
+        some = words[k : k + ROOM]
+        h[k : k + len(some)] = np.fromiter(map(_HASHES.__getitem__, some), np.uint64, len(some))
     if not len(h):
         return h
     size = min(WORDS, len(h))
@@ -250,16 +257,29 @@ def _star(pairs: DataFrame) -> DataFrame:
     return centres.unionByName(spokes).withColumn("col", F.col("row") + 1)
 
 
-def _groups(open_: DataFrame) -> DataFrame:
-    """(node, root, row, col, side): nodes of open bands in blocks, a row for each pair of blocks to compare.
+def _units(open_: DataFrame) -> DataFrame:
+    """(root, node, comp): sets of classes to compare, so that every two of an open band are in one of them.
 
-    root: the group of nodes that hang together by open bands. A component with
-    BLOCK nodes or more in its group has blocks of its own, which aren't compared
-    with each other; all other nodes share mixed blocks.
+    root: a group of up to BLOCK classes that hang together by open bands, or one
+    band of a larger group.
     """
     ties = open_.join(open_.groupBy("band").agg(F.min("node").alias("b")), "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    groups = components(ties)
-    nodes = open_.select("node", "root").distinct().withColumnRenamed("root", "comp").join(groups, "node")
+    nodes = open_.select("node", F.col("root").alias("comp")).distinct().join(components(ties), "node")
+    large = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("root")
+    small = nodes.join(large, "root", "left_anti").select("root", "node", "comp")
+    in_large = open_.select("band", "node", F.col("root").alias("comp")).join(nodes.join(large, "root", "left_semi").select("node"), "node", "left_semi")
+    mark = [F.sum(F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(1 << 31))).alias(f"h{k}") for k in range(4)]
+    alike = in_large.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *mark).groupBy("n", "h0", "h1", "h2", "h3").agg(F.min("band").alias("band")).select("band")
+    return small.unionByName(in_large.join(alike, "band", "left_semi").select(F.col("band").alias("root"), "node", "comp"))
+
+
+def _groups(open_: DataFrame) -> DataFrame:
+    """(node, root, row, col, side): units in blocks, a row for each pair of blocks to compare.
+
+    A component with BLOCK nodes or more in its unit has blocks of its own, which
+    aren't compared with each other; all other nodes share mixed blocks.
+    """
+    nodes = cut(_units(open_))
     sizes = nodes.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("pure", F.when(F.col("n") >= BLOCK, F.col("comp")))
     lots = sizes.groupBy("root", "pure").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     numbered = cut(lots.withColumn("first", (F.sum("blocks").over(Window.partitionBy("root").orderBy("pure").rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks")).cast("int")))

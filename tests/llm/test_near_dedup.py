@@ -64,6 +64,25 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs)
 
 
+def test_a_large_family_meets_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    r, words = random.Random(8), [f"w{k}" for k in range(60)]
+    shared = [r.choice(words) for _ in range(90)]
+    docs = [(k, " ".join(shared + [r.choice(words) for _ in range(r.choice([4, 10, 25, 40]))])) for k in range(80)]
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs)
+
+
+def test_units_hold_every_pair_of_a_band_once(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    bands = {1: [1, 2], 2: [2, 3], 3: [3, 4], 4: [3, 4], 5: [4, 5], 6: [8, 9], 7: [9, 10]}
+    rows = [(b, n, n) for b, ns in bands.items() for n in ns]
+    units: dict = {}
+    for r in nd._units(spark.createDataFrame(rows, "band long, node long, root long")).collect():
+        units.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, units.values())) == [[1, 2], [2, 3], [3, 4], [4, 5], [8, 9, 10]]
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(0)
     pool = r.integers(0, 2**63, 1200, dtype=np.uint64)
