@@ -111,7 +111,10 @@ class PieceCoder:
             else:
                 got += [byte[b] for b in p.encode()]
         out = array("I", got).tobytes()
-        if kept is not None and skipped == len(gaps) - 1:
+        if kept is not None and skipped == len(gaps) - 1 and len(unit) <= KEPT_CHARS:
+            if self.held >= ROOM:
+                self.known.clear()
+                self.held = 0
             kept[at] = [n, out, None]
             self.held += 1
         return out
@@ -131,8 +134,6 @@ class PieceCoder:
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as native 32-bit unsigned integers; an empty text has none."""
-        if self.held > ROOM:
-            self.known, self.held = {}, 0
         units = self.units(text)
         n = len(units)
         known, fresh, out = self.known, self.fresh, []

@@ -1,5 +1,7 @@
 """Dropout varies by document and occurrence, with the chances of the method, whatever a worker has kept."""
 
+import random
+
 import public_tokenizers
 
 from dataspoor.llm import pieces
@@ -33,3 +35,38 @@ def test_gaps_have_the_chance_of_dropout():
     gaps = pieces.PieceCoder(MODEL, 0.1).gaps(5, 0, 200_000)
     assert abs(gaps.count(0) / 200_000 - 0.1) < 0.004 and abs(sum(gaps) / 200_000 - 9) < 0.15
     assert set(pieces.PieceCoder(MODEL, 1.0).gaps(5, 0, 100)) == {0}
+
+
+def test_segments_equal_a_plain_twin():
+    """Every step looks over all neighbours anew, without an agenda."""
+
+    def twin(c, unit, gaps):
+        parts, gone, gaps, seen = [(k, k + 1) for k in range(len(unit))], set(), iter(gaps), 0
+        gap = next(gaps)
+        while True:
+            open_ = [(c.rank[unit[a:d]], a, b, d) for (a, b), (_, d) in zip(parts, parts[1:]) if unit[a:d] in c.rank and (a, b, d) not in gone]
+            if not open_:
+                return [unit[a:b] for a, b in parts]
+            _, a, b, d = min(open_)
+            if seen == gap:
+                gone.add((a, b, d))
+                gap, seen = next(gaps), 0
+            else:
+                seen += 1
+                k = parts.index((a, b))
+                parts[k : k + 2] = [(a, d)]
+
+    c, r = pieces.PieceCoder(MODEL, 0.3), random.Random(2)
+    words = ["internationalization", "antidisestablishmentarianism", "aaaaaaaaaaaa", "the", "ﬁx日本語", "mississippi", "x" * 40] + ["".join(r.choice("etaoinshr") for _ in range(r.randrange(1, 30))) for _ in range(80)]
+    for w in words:
+        for _ in range(12):
+            gaps = [r.choice([0, 0, 1, 2, 3, 8]) for _ in range(200)]
+            assert c.segment("▁" + w, iter(gaps))[0] == twin(c, "▁" + w, gaps)
+
+
+def test_tables_stay_small_whatever_the_words(monkeypatch):
+    monkeypatch.setattr(pieces, "ROOM", 50)
+    c = pieces.PieceCoder(MODEL, 0.3)
+    text = " ".join(["y" * 5000, *(f"word{k}" for k in range(3000))])
+    assert c.decode(memoryview(c.encode(text, 3)).cast("I")) == text
+    assert c.held <= 51 and not any(len(k) > pieces.KEPT_CHARS for k in c.known)

@@ -1,5 +1,6 @@
 """Ring shards: equal counts, gapless slots, little movement."""
 
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -38,3 +39,51 @@ def test_walk_is_bounded():
         assert slot == load[shard]
         load[shard] += hi - lo
     assert sum(load) == 1007 and max(load) - min(load) <= 1
+
+
+def test_walk_equals_keys_that_walk_one_by_one():
+    """Every key goes from node to node by itself, in rounds; keys of a cell keep their order."""
+    r = random.Random(6)
+    for trial in range(30):
+        n, vnodes = r.randrange(1, 7), r.randrange(1, 9)
+        nodes = s.ring(n, vnodes, trial)
+        counts = {r.choice([5, 700, r.randrange(s.CELLS)]): r.randrange(1, 60) for _ in range(r.randrange(1, 30))}
+        room = s.capacities(sum(counts.values()), n, r.choice([1.0, 1.1, 2.0]))
+        got = {(c, k): (shard, slot + k - lo) for c, lo, hi, shard, slot in s.walk(counts, nodes, room) for k in range(lo, hi)}
+        want, load, queue = {}, [0] * n, {}
+        for c in sorted(counts):
+            home = next((k for k, (at, _) in enumerate(nodes) if at >= c), 0)
+            queue.setdefault(home, []).extend((c, k) for k in range(counts[c]))
+        while queue:
+            on: dict = {}
+            for node in sorted(queue):
+                for key in queue[node]:
+                    shard = nodes[node][1]
+                    if load[shard] < room[shard]:
+                        want[key] = (shard, load[shard])
+                        load[shard] += 1
+                    else:
+                        on.setdefault((node + 1) % len(nodes), []).append(key)
+            queue = on
+        assert got == want
+
+
+def test_rows_follow_the_walk(spark):
+    rows = [(k % 90, f"t{k}") for k in range(400)] + [(None, "no id"), (None, None), (7, None)]
+    got = s.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4).collect()
+    nodes, cells = s.ring(5, 4), {}
+    for r in got:
+        cells.setdefault(r.ring_cell, []).append((r.shard, r.slot))
+        assert r.home_shard == next((shard for at, shard in nodes if at >= r.ring_cell), nodes[0][1])
+    plan = s.walk({c: len(v) for c, v in cells.items()}, nodes, s.capacities(len(rows), 5, 1.0))
+    want: dict = {}
+    for c, lo, hi, shard, slot in plan:
+        want.setdefault(c, []).extend((shard, slot + k - lo) for k in range(lo, hi))
+    assert {c: sorted(v) for c, v in cells.items()} == {c: sorted(v) for c, v in want.items()}
+    assert len({r.ring_cell for r in got if r.doc_id == 7}) == 1
+
+
+def test_one_more_shard_of_many_moves_few_at_equal_counts(spark):
+    before = {r.doc_id: r.shard for r in s.assign_shards(table(spark, 20_000), 40).collect()}
+    after = {r.doc_id: r.shard for r in s.assign_shards(table(spark, 20_000), 41).collect()}
+    assert sum(before[d] != after[d] for d in before) < 0.06 * len(before)
