@@ -18,6 +18,7 @@ from ..sources import catalogue
 from . import classification as K
 from . import exposure as X
 from . import graph as G
+from . import handlers as H
 from . import lookup as L
 from . import propagation as P
 
@@ -78,7 +79,8 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     by_rule = G.cut(rest.join(decided.filter("kind is not null").withColumnRenamed("kind", "decision"), "sid").join(F.broadcast(entries), "entry"))
     unruled = rest.join(by_rule.select("sid"), "sid", "left_anti")
     last = F.regexp_extract("callee", r"([^.]*)$", 1)
-    logs = unruled.filter(F.col("field").isin(*catalogue.LOGGER_NAMES) & last.isin(*catalogue.LOGGER_METHODS))
+    loggers, log_methods = catalogue.LOGGERS[lang]
+    logs = unruled.filter(F.col("field").isin(*loggers) & last.isin(*log_methods))
     flow_of = F.create_map(*[x for flow, names in methods.items() for m in names for x in (F.lit(m), F.lit(flow))])
     left = G.cut(unruled.join(logs.select("sid"), "sid", "left_anti").withColumn("flow", F.when(F.col("how") == "method", F.try_element_at(flow_of, F.col("callee")))))
 
@@ -111,9 +113,20 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     classified = K.classify(named, extra).select("sid", "category", "needs_review", "by")
     read_seeds = reads.join(requests, "sid", "left").join(classified, "sid", "left").filter("category is not null or request")
     read_seeds = read_seeds.select("repo", "path", "fn", F.col("dst").alias("var"), F.coalesce("category", F.lit(N.UNKNOWN)).alias("category"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.when(F.col("request"), "request").otherwise("field").alias("kind"), F.col("field").alias("name"), "text", "line", "col")
+    of_source = F.create_map(*[F.lit(x) for kv in catalogue.source_categories().items() for x in kv])
+    called = by_rule.filter("decision = 'source'").select("repo", "path", "fn", F.col("dst").alias("var"), F.coalesce(F.try_element_at(of_source, F.col("entry")), F.lit(N.UNKNOWN)).alias("category"), F.lit(False).alias("needs_review"), F.lit("request").alias("kind"), F.coalesce(F.col("field"), F.col("callee")).alias("name"), "text", "line", "col")
+    carries = spark.createDataFrame(catalogue.parameters(lang), "entry string, which string, how string, name string, category string")
+    handlers = H.find_handlers(ir, catalogue.handler_ways(lang)).select("repo", "path", "fn", "entry")
+    carried = H.select_parameters(handlers, H.parameters_of(ir), carries, ir.filter("kind = 'class'").select("repo", F.col("field").alias("type")).distinct())
+    brought = H.handler_seeds(ir, carried).select("repo", "path", "fn", "var", "category", F.lit(False).alias("needs_review"), F.lit("request").alias("kind"), "name", "text", "line", "col").distinct()
+    # A value that its own name classifies is that, not unknown request input.
+    known_by_name = read_seeds.filter(F.col("category") != N.UNKNOWN).select("var").distinct()
+    read_seeds = read_seeds.unionByName(called).unionByName(brought.join(known_by_name, "var", "left_anti"))
     params = ir.filter("kind = 'func'").select("repo", "path", "fn", "text", "line", "col", F.explode("args").alias("p"), F.transform("args", lambda a: N.table_key(a["name"])).alias("siblings"))
     params = params.select("repo", "path", "fn", F.col("p.var").alias("var"), F.col("p.name").alias("name"), F.lit(None).cast("string").alias("object"), "siblings", "text", "line", "col").filter("name is not null")
     param_seeds = K.classify(params, extra).select("repo", "path", "fn", "var", "category", "needs_review", F.lit("parameter").alias("kind"), "name", "text", "line", "col")
+    named_params = param_seeds.select("var").distinct()
+    read_seeds = read_seeds.join(named_params, "var", "left_anti")
     sources = G.cut(_anchored(read_seeds.unionByName(param_seeds).filter("var is not null"), "src", "repo", "path", "fn", "kind", "name", "category", "text"))
 
     # Sinks.
@@ -138,7 +151,9 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     open_calls = left.filter("flow is null").select(F.when(F.col("how") == "method", "unresolved_method").otherwise("unresolved_callee").alias("kind"), F.col("callee").alias("detail"), "path", "line", F.explode(needs).alias("var"))
     touched = open_calls.join(best.join(sources.select(F.col("id").alias("seed"), "category", "needs_review").distinct(), "seed"), "var").select("kind", "detail", "path", "line", "category", "needs_review")
     broken = ir.filter("kind = 'parse_error'").select("kind", F.col("text").alias("detail"), "path", "line", F.lit(N.UNKNOWN).alias("category"), F.lit(True).alias("needs_review"))
-    seen = touched.unionByName(broken)
+    foreign = H.framework_imports(ir, catalogue.frameworks(lang)).filter("not supported").groupBy("framework", "path").agg(F.min("line").alias("line"))
+    foreign = foreign.select(F.lit("unsupported_framework").alias("kind"), F.col("framework").alias("detail"), "path", "line", F.lit(N.UNKNOWN).alias("category"), F.lit(True).alias("needs_review"))
+    seen = touched.unionByName(broken).unionByName(foreign)
     if most is not None:
         over = G.reach_gaps(reached, edges, seeds, most).select(F.col("seed").alias("id")).distinct()
         cut_short = over.join(sources.select("id", "path", "line", "category", "needs_review").distinct(), "id")
@@ -173,11 +188,13 @@ def scan_files(files: DataFrame, config=None) -> Report:
     rules = catalogue.rules(spark, config.extensions)
     processors = C.processor_table(spark, config).select("ordinal", "name", "sink_regex", "host", "citation")
     extra = C.field_table(spark, config)
-    halves = []
+    halves, read = [], []
     for lang, wanted, lower, methods in (("python", ("python",), python.lower_files, catalogue.PY_METHODS), ("javascript", ("javascript", "typescript"), scripts.lower_files, catalogue.JS_METHODS)):
+        read += wanted
         halves.append(scan(lower(readable.filter(F.col("lang").isin(*wanted))), lang, rules.filter(F.col("lang") == lang), methods, processors, extra, config.rules))
     report = _union(*halves)
-    unread = kept.filter("lang is null").withColumn("other", S.unsupported_of(F.col("path"))).filter("other is not null")
+    # Whatever no reader above took and carries logic is a gap.
+    unread = kept.filter(F.col("lang").isNull() | ~F.col("lang").isin(*read)).withColumn("other", F.coalesce(S.unsupported_of(F.col("path")), "lang")).filter("other is not null")
     static = unread.select(F.lit("unsupported_language").alias("kind"), F.col("other").alias("detail"), "path").unionByName(large.select("kind", F.lit("over the size limit").alias("detail"), "path"))
     counted = static.groupBy("kind", "detail").agg(F.count(F.lit(1)).alias("n_locations"), F.count(F.lit(1)).alias("n_reached"), F.min("path").alias("first_path"))
     said = "it exists whatever the data, so what it hides is not known"

@@ -1,7 +1,7 @@
-"""The rule catalogue as data: sinks, request sources, sanitisers and propagators.
+"""The rule catalogue as tables: what decides a call, how handlers are known, and frameworks.
 
-Rows are fixed values: (id, class, processor, patterns). Patterns are globs of
-API paths; `dataspoor.functions.globs` makes regexes of them once on the driver.
+Values are in `values`; here they become rows. Patterns are globs of API paths;
+`dataspoor.functions.globs` makes regexes of them once on the driver.
 """
 
 from __future__ import annotations
@@ -11,69 +11,40 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.globs import glob_regex
+from . import values as V
 
-_LEVELS = "{debug,info,warning,warn,error,exception,critical,fatal,log}"
-_VERBS = "{get,post,put,patch,delete,head,options,request}"
-# Python.
-PY_SINKS = (
-    ("py.logging", "log", None, (f"logging.{_LEVELS}", f"logging.**.{_LEVELS}")),
-    ("py.structlog", "log", None, ("structlog.**.{debug,info,warning,error,critical,msg,log,bind}",)),
-    ("py.loguru", "log", None, ("loguru.logger.**",)),
-    ("py.print", "log", None, ("builtins.print",)),
-    ("py.sentry", "error_tracking", "Sentry", ("sentry_sdk.{set_user,set_context,set_extra,set_tag,capture_exception,capture_message,add_breadcrumb}",)),
-    ("py.segment", "analytics", "Segment", ("{segment,analytics}.**{identify,track,page,screen,group,alias}",)),
-    ("py.mixpanel", "analytics", "Mixpanel", ("mixpanel.Mixpanel().{track,people_set,alias}",)),
-    ("py.posthog", "analytics", "PostHog", ("posthog.**{capture,identify,alias}",)),
-    ("py.openai", "llm", "OpenAI", ("openai.**.create", "openai.**.parse")),
-    ("py.anthropic", "llm", "Anthropic", ("anthropic.**.messages.{create,stream}",)),
-    ("py.requests", "http", None, (f"requests.{_VERBS}", f"requests.Session().{_VERBS}")),
-    ("py.httpx", "http", None, (f"httpx.{_VERBS}", "httpx.{Client,AsyncClient}()." + _VERBS)),
-    ("py.urllib", "http", None, ("urllib.request.urlopen",)),
-    ("py.smtplib", "messaging", None, ("smtplib.**.{sendmail,send_message}",)),
-    ("py.twilio", "messaging", "Twilio", ("twilio.**.messages.create",)),
-    ("py.sendgrid", "messaging", "SendGrid", ("sendgrid.**.send",)),
-    ("py.stripe", "third_party", "Stripe", ("stripe.**.{create,modify}",)),
-)
-PY_SOURCES = (("py.flask.request", ("flask.request.{form,args,values,json,files,cookies,headers,data,authorization}", "flask.request.{get_json,get_data}()")),)
-PY_SANITISERS = (
-    ("py.password-hash", "user.authorization", ("bcrypt.hashpw", "passlib.**.{hash,encrypt}", "werkzeug.security.generate_password_hash", "django.contrib.auth.hashers.make_password", "argon2.**.hash")),
-    ("py.predicates", "*", ("builtins.{len,bool,isinstance,issubclass,hasattr,callable,id,type,hash}",)),
-)
-PY_PROPAGATORS = (("py.builtins", "args_to_result", ("builtins.*", "json.{dumps,loads}", "copy.{copy,deepcopy}")),)
-#: Methods of data by what they do with it.
-PY_METHODS = {
-    "args_to_result": ("lower", "upper", "strip", "lstrip", "rstrip", "split", "join", "format", "replace", "title", "encode", "decode", "get", "items", "values", "keys", "copy", "pop", "capitalize", "casefold", "zfill", "splitlines", "isoformat", "to_dict", "dict", "model_dump"),
-    "args_to_receiver": ("append", "extend", "insert", "add", "update", "setdefault"),
-    "none": ("startswith", "endswith", "isdigit", "isalpha", "isalnum", "islower", "isupper", "isspace", "count", "index", "find", "commit", "flush", "close"),
-}
-#: Receivers that are loggers by their name, and the methods that log.
-LOGGER_NAMES = ("logger", "log", "LOGGER", "_logger", "LOG")
-LOGGER_METHODS = ("debug", "info", "warning", "warn", "error", "exception", "critical", "fatal", "log")
-# JavaScript and TypeScript.
-_JS_LEVELS = "{trace,debug,info,warn,error,fatal}"
-JS_SINKS = (
-    ("js.console", "log", None, ("console.{log,info,warn,error,debug,trace,dir,table,group,groupCollapsed,assert}",)),
-    ("js.pino", "log", None, (f"pino:**.{_JS_LEVELS}",)),
-    ("js.winston", "log", None, ("winston:**.{log,info,warn,error,debug,verbose,silly,http}",)),
-    ("js.bunyan", "log", None, (f"bunyan:**.{_JS_LEVELS}",)),
-    ("js.sentry", "error_tracking", "Sentry", ("@sentry/*:{setUser,setContext,setExtra,setTag,addBreadcrumb,captureException,captureMessage,captureEvent}",)),
-    ("js.segment", "analytics", "Segment", ("{@segment/analytics-node,analytics-node}:**.{identify,track,page,screen,group,alias}",)),
-    ("js.mixpanel", "analytics", "Mixpanel", ("{mixpanel,mixpanel-browser}:**.{track,identify,alias,register}",)),
-    ("js.openai", "llm", "OpenAI", ("openai:**.create",)),
-    ("js.fetch", "http", None, ("fetch",)),
-    ("js.axios", "http", None, ("axios:**{get,post,put,patch,delete,request}", "axios:default")),
-    ("js.local-storage", "browser_storage", None, ("{localStorage,sessionStorage}.setItem",)),
-    ("js.nodemailer", "messaging", None, ("nodemailer:**.sendMail",)),
-)
-JS_PROPAGATORS = (("js.json", "args_to_result", ("JSON.{stringify,parse}",)), ("js.globals", "args_to_result", ("{String,Number,Object,Array,Buffer,encodeURIComponent}{,.*}",)))
-JS_SANITISERS = (("js.password-hash", "user.authorization", ("{bcrypt,bcryptjs}:**{hash,hashSync}", "argon2:**hash")), ("js.predicates", "*", ("Array.isArray", "Number.{isNaN,isFinite,isInteger}")))
-#: Methods of data by what they do with it.
-JS_METHODS = {
-    "args_to_result": ("toLowerCase", "toUpperCase", "trim", "trimStart", "trimEnd", "slice", "substring", "split", "join", "replace", "replaceAll", "concat", "padStart", "padEnd", "repeat", "toString", "toJSON", "valueOf", "at", "charAt", "normalize", "flat", "reverse", "sort", "keys", "values", "entries", "get", "then", "json", "text"),
-    "args_to_receiver": ("push", "unshift", "splice", "add", "set", "append"),
-    "receiver_to_callback": ("map", "forEach", "filter", "find", "findLast", "findIndex", "flatMap", "reduce", "some", "every"),
-    "none": ("includes", "startsWith", "endsWith", "test", "has", "indexOf", "lastIndexOf", "localeCompare"),
-}
+#: Languages by the first part of an entry's id.
+LANGS = {"js": "javascript", "py": "python", "cs": "csharp"}
+
+
+def lang_of(entry: str) -> str:
+    return LANGS[entry.split(".")[0]]
+
+
+def _methods(lang: str) -> dict[str, tuple[str, ...]]:
+    """Methods of data by their flow; what a sanitiser's methods return is no data."""
+    out: dict[str, tuple[str, ...]] = {}
+    for entry, flow, _, methods, _ in V.PROPAGATORS:
+        if lang_of(entry) == lang and methods:
+            out[flow] = out.get(flow, ()) + tuple(methods.split())
+    for entry, _, _, methods in V.SANITISERS:
+        if lang_of(entry) == lang:
+            out["none"] = out.get("none", ()) + tuple(methods.split())
+    return out
+
+
+PY_METHODS, JS_METHODS, CS_METHODS = _methods("python"), _methods("javascript"), _methods("csharp")
+#: (receivers, methods) of loggers that are known by name, by language.
+LOGGERS = {lang_of(entry): (tuple(receivers.split()), tuple(methods.split())) for entry, receivers, methods in V.SINK_RECEIVERS}
+
+
+def _entries() -> list[tuple]:
+    """(lang, kind, entry, patterns, class, processor, removes, flow) in the order of the catalogue."""
+    rows: list[tuple] = [(lang_of(e), "sink", e, calls.split(), c, v, None, None) for e, c, v, calls in V.SINKS]
+    rows += [(lang_of(e), "source", e, reads.split() + calls.split(), None, None, None, None) for e, _, _, _, reads, calls in V.SOURCES]
+    rows += [(lang_of(e), "sanitiser", e, calls.split(), None, None, removes, None) for e, removes, calls, _ in V.SANITISERS]
+    rows += [(lang_of(e), "propagator", e, calls.split(), None, None, None, flow) for e, flow, calls, _, _ in V.PROPAGATORS]
+    return rows
 
 
 def rules(spark: SparkSession, extensions: list[tuple] = ()) -> DataFrame:
@@ -81,12 +52,35 @@ def rules(spark: SparkSession, extensions: list[tuple] = ()) -> DataFrame:
 
     extensions: rows (lang, kind, entry, patterns, class, processor, removes, flow).
     """
-    rows: list[tuple] = []
-    for lang, sinks, sources, sanitisers, propagators in (("python", PY_SINKS, PY_SOURCES, PY_SANITISERS, PY_PROPAGATORS), ("javascript", JS_SINKS, (), JS_SANITISERS, JS_PROPAGATORS)):
-        rows += [(lang, "sink", e, p, c, v, None, None) for e, c, v, p in sinks]
-        rows += [(lang, "source", e, p, None, None, None, None) for e, p in sources]
-        rows += [(lang, "sanitiser", e, p, None, None, r, None) for e, r, p in sanitisers]
-        rows += [(lang, "propagator", e, p, None, None, None, f) for e, f, p in propagators]
-    rows += list(extensions)
-    flat = [(n, lang, kind, e, p, not re.search(r"[*{]", p), glob_regex(p), c, v, r, f) for n, (lang, kind, e, ps, c, v, r, f) in enumerate(rows) for p in ps]
+    flat = [(n, lang, kind, e, p, not re.search(r"[*{]", p), glob_regex(p), c, v, r, f) for n, (lang, kind, e, ps, c, v, r, f) in enumerate([*_entries(), *extensions]) for p in ps]
     return spark.createDataFrame(flat, "ordinal int, lang string, kind string, entry string, pattern string, literal boolean, regex string, class string, processor string, removes string, flow string")
+
+
+def source_categories() -> dict[str, str]:
+    """Category of what each request source reads, where the catalogue says one."""
+    return {e: category for e, _, _, category, _, _ in V.SOURCES if category}
+
+
+def handler_ways(lang: str) -> list[tuple[str, str, list[str]]]:
+    """(entry, way, patterns) by which a language's handlers are known."""
+    return [(e, way, values.split()) for e, way, values in V.HANDLERS if lang_of(e) == lang]
+
+
+def parameters(lang: str) -> list[tuple[str, str, str, str, str | None]]:
+    """(entry, which, how, name, category): what the parameters of a language's handlers carry."""
+    return [row for row in V.PARAMETERS if lang_of(row[0]) == lang]
+
+
+def dispatchers(lang: str) -> list[tuple]:
+    """(entry, calls, argument, implemented type, method, parameter, type argument)."""
+    return [row for row in V.DISPATCHERS if lang_of(row[0]) == lang]
+
+
+def frameworks(lang: str) -> list[tuple[str, list[str], bool]]:
+    """(name, modules, supported) of a language's web frameworks."""
+    return [(name, modules.split(), supported) for name, of, modules, supported, _ in V.FRAMEWORKS if of == lang]
+
+
+def names(table: tuple, lang: str) -> tuple[str, ...]:
+    """Names that a (language, names) table of `values` holds for a language."""
+    return tuple(n for of, text in table if of == lang for n in text.split())

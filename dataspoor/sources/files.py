@@ -7,11 +7,21 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Languages that are read, and those that are known but aren't, by extension.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "cs": "csharp", "razor": "csharp", "cshtml": "csharp"}
-UNSUPPORTED = {"go": "Go", "java": "Java", "kt": "Kotlin", "rb": "Ruby", "php": "PHP", "rs": "Rust", "swift": "Swift", "scala": "Scala", "c": "C", "cc": "C++", "cpp": "C++", "h": "C", "hpp": "C++", "m": "Objective-C", "dart": "Dart", "ex": "Elixir", "exs": "Elixir", "vue": "Vue", "svelte": "Svelte", "vb": "Visual Basic"}
-#: What is left out of a scan unless a project says otherwise.
-DEFAULT_EXCLUDES = ("**/node_modules/**", "**/vendor/**", "**/dist/**", "**/build/**", "**/.git/**", "**/migrations/**", "**/__pycache__/**", "**/*.min.js", "**/*.d.ts", "**/test/**", "**/tests/**", "**/__tests__/**", "**/*.test.*", "**/*.spec.*")
+#: Languages that are known, and those that carry logic but aren't read, by extension.
+LANGUAGES = {"ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "cs": "csharp", "razor": "csharp"}
+UNSUPPORTED = {
+    "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "rb": "ruby", "php": "php", "cshtml": "razor-pages", "fs": "fsharp", "rs": "rust", "swift": "swift", "m": "objective-c",
+    "ex": "elixir", "exs": "elixir", "erl": "erlang", "clj": "clojure", "dart": "dart", "vue": "vue", "svelte": "svelte", "astro": "astro",
+}
+#: What is left out of a scan unless a project says otherwise: dependencies and generated code, tests, seeds and mocks.
+DEFAULT_EXCLUDES = (
+    "**/node_modules/**", "**/vendor/**", "**/third_party/**", "**/bower_components/**", "**/dist/**", "**/build/**", "**/out/**", "**/.next/**", "**/.nuxt/**", "**/.svelte-kit/**", "**/coverage/**", "**/__pycache__/**",
+    "**/.venv/**", "**/venv/**", "**/site-packages/**", "**/.tox/**", "**/migrations/**", "**/*.min.js", "**/*.bundle.js", "**/*.d.ts", "**/*.generated.*", "**/{bin,obj}/**/*.{cs,razor}", "**/Migrations/**/*.cs",
+    "**/*.Designer.cs", "**/*.g.cs", "**/*.g.i.cs",
+    "**/test/**", "**/tests/**", "**/__tests__/**", "**/spec/**", "**/*.test.*", "**/*.spec.*", "**/test_*.py", "**/*_test.py", "**/conftest.py", "**/fixtures/**", "**/__fixtures__/**", "**/__mocks__/**", "**/testdata/**",
+    "**/e2e/**", "**/cypress/**", "**/playwright/**", "**/*.{Tests,UnitTests,FunctionalTests,IntegrationTests}/**", "**/*.stories.*", "**/storybook-static/**",
+    "**/seed/**", "**/seeds/**", "**/seeders/**", "**/*.seed.*", "**/mocks/**", "**/__generated__/**",
+)
 MAX_BYTES = 2 << 20
 
 

@@ -82,11 +82,13 @@ class Lowering(ast.NodeVisitor):
         for a in node.names:
             name = a.asname or a.name.split(".")[0]
             self.known[f"{self.fn}|{name}"] = a.name if a.asname else name
+            self.add("import", node, callee=a.name)
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         base = "." * node.level + (node.module or "")
         for a in node.names:
             self.known[f"{self.fn}|{a.asname or a.name}"] = f"{base}.{a.name}" if base.strip(".") else base + a.name
+        self.add("import", node, callee=base)
 
     def visit_FunctionDef(self, node) -> None:
         outer, name = self.fn, (f"{self.cls}.{node.name}" if self.cls else node.name)
@@ -101,6 +103,9 @@ class Lowering(ast.NodeVisitor):
             params.append({"var": self.var(a.kwarg.arg, name), "kind": "kwrest", "pos": None, "name": None})
         marks = [self.api(d.func if isinstance(d, ast.Call) else d) or "" for d in node.decorator_list]
         self.add("func", node, fn=name, dst=self.var("%return", name), args=params, parts=marks, field=node.name, text=f"def {node.name}")
+        for p in [*plain[skip:], *a.kwonlyargs]:
+            if p.annotation is not None:
+                self.add("annotation", p, fn=name, dst=self.var(p.arg, name), field=_type_name(p.annotation), callee=self.api(p.annotation))
         self.fn = name
         self.scope.append({p.arg: 1 for p in [*plain, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]} | {n.id: 1 for s in node.body for n in ast.walk(s) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)})
         held, self.cls = self.cls, None
@@ -351,6 +356,18 @@ class Lowering(ast.NodeVisitor):
         return None if first is None else ""
 
 
+def _type_name(node: ast.AST) -> str | None:
+    """The simple name of an annotation: of `a.B`, `"B"`, `Optional[B]`, `B | None` and `Annotated[B, ...]` it is B."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value.split("[")[0].split(".")[-1].strip() or None
+    if isinstance(node, ast.BinOp):
+        return _type_name(node.left) or _type_name(node.right)
+    if isinstance(node, ast.Subscript):
+        inner = node.slice.elts[0] if isinstance(node.slice, ast.Tuple) and node.slice.elts else node.slice
+        return _type_name(inner) if _type_name(node.value) in ("Optional", "Annotated", "List", "list", "Sequence", "Iterable", "Union") else _type_name(node.value)
+    return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+
+
 def lower(repo: str, path: str, text: str) -> list[dict]:
     """Rows of one file; a file that doesn't parse gives one `parse_error` row."""
     try:

@@ -266,15 +266,17 @@ class Reader:
             return self.imports()
         if word == "export":
             self.i += 1
-            self.accept("default")
+            row, default = len(self.rows), self.accept("default")
             if self.at("{", "*"):
                 while not self.accept(";") and not (self.t.line_break and self.toks[self.i - 1].text != ","):
                     self.i += 1
                 return None
             if not (self.t.kind == "name" and self.t.text in ("const", "let", "var", "function", "class", "async", "interface", "type", "enum", "abstract", "declare", "namespace")):
                 self.expression()
+                self.exported(row, default)
                 return self.end()
-            return self.statement()
+            self.statement()
+            return self.exported(row, default)
         if word in ("declare", "abstract"):
             self.i += 1
             return self.statement()
@@ -358,12 +360,19 @@ class Reader:
         if not self.accept(";") and not self.at("}") and not self.t.line_break and self.t.kind != "end":
             raise Unreadable(f"unexpected {self.t.text}")
 
+    def exported(self, row: int, default: bool) -> None:
+        """Marks the function that the rows from `row` on declare at this level with the name it is exported by."""
+        made = [r for r in self.rows[row:] if r["kind"] == "func" and "." not in r["fn"]]
+        if made:
+            held = next((r["dst"].split("|")[-1] for r in self.rows[row:] if r["kind"] == "assign" and r["src"] == self.var(f"fn:{made[0]['fn']}", MODULE)), made[0]["field"])
+            made[0]["parts"] = ["export:default" if default else f"export:{held}"]
+
     def imports(self) -> None:
         self.take("import")
         found: list[tuple[str, str]] = []
         self.accept("type") if self.peek() not in ("from", ",") else None
         if self.t.kind == "str":
-            self.i += 1
+            self.add("import", self.t.at, callee=self.take().text[1:-1])
             return self.end()
         while not self.at("from"):
             if self.accept("{"):
@@ -378,7 +387,9 @@ class Reader:
             elif not self.accept(","):
                 found.append((self.take().text, "default"))
         self.take("from")
+        at = self.t.at
         module = self.take().text[1:-1]
+        self.add("import", at, callee=module)
         for local, name in found:
             self.known[f"{self.fn}|{local}"] = f"{module}:{name}"
         if self.accept("with", "assert"):
@@ -570,6 +581,8 @@ class Reader:
                     params.append({"var": self.var(p), "kind": "rest" if rest else "plain", "pos": len(params), "name": p})
                 self.accept("?")
                 if self.accept(":"):
+                    if self.t.kind == "name":
+                        self.add("annotation", at, dst=params[-1]["var"], field=self.t.text, callee=self.known.get(f"{MODULE}|{self.t.text}"))
                     self.skip_type()
                 if self.accept("="):
                     self.add("assign", at, dst=params[-1]["var"], src=self.assignment())

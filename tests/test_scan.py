@@ -155,12 +155,12 @@ def test_whole_trees_and_configuration(spark, tmp_path):
     from dataspoor import cli
     from dataspoor.sources import config
 
-    tree = {"a/" + p: t for p, t in PYTHON.items() if p == "app/log.py"} | SCRIPT | {"x.go": "package main", "node_modules/m/i.js": "console.log(u.email)"}
+    tree = {"a/" + p: t for p, t in PYTHON.items() if p == "app/log.py"} | SCRIPT | {"x.go": "package main", "y.cs": "class A {}", "z.cshtml": "x", "node_modules/m/i.js": "console.log(u.email)"}
     rows = spark.createDataFrame([("", p, t) for p, t in tree.items()], "repo string, path string, text string")
     r = S.scan_files(rows, config.load({"policy": {"rules": {"PF005": {"enabled": False}}}, "processors": [{"name": "Api", "hosts": ["example.com"], "citation": "c"}]}))
     found = {(x.rule_id, x.path, x.line) for x in r.findings.collect()}
     assert found == {m for m in marks(tree) if m[0] not in ("PF005", "PF002")}
-    assert ("unsupported_language", "Go") in {(g.kind, g.detail) for g in r.gaps.collect()}
+    assert ("unsupported_language", "go") in {(g.kind, g.detail) for g in r.gaps.collect()}
     for p, t in tree.items():
         (tmp_path / "t" / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "t" / p).write_text(t)
@@ -170,3 +170,95 @@ def test_whole_trees_and_configuration(spark, tmp_path):
     text = "".join(x.read_text() for x in sorted((tmp_path / "out.sarif").glob("part-*")))
     assert {x["ruleId"] for x in json.loads(text)["runs"][0]["results"]} == {"PF001", "PF002", "PF005"}
     assert cli.main(["scan", str(tmp_path), "--config", str(tmp_path / "none.json")]) == 3
+
+
+HANDLERS_PY = {
+    "app/api.py": """
+import logging
+from fastapi import FastAPI, Request, APIRouter
+from app.models import UserIn
+app = FastAPI()
+router = APIRouter()
+
+@app.post("/u")
+def create(body, user: UserIn, request: Request, db: Session):
+    logging.info(body)  # expect: PF004
+    logging.info(user)
+    logging.info(user.email)  # expect: PF001
+    logging.info(db)
+    logging.info(request)
+    logging.info(request.headers)  # expect: PF004
+    logging.info(request.json())  # expect: PF004
+
+def plain(body):
+    logging.info(body)
+
+class UserIn:
+    pass
+""",
+    "app/views.py": """
+import logging
+
+class Profile:
+    def post(self, request):
+        logging.info(request.POST)  # expect: PF004
+        logging.info(request.user_agent_tag)
+""",
+    "app/flask_app.py": """
+import logging
+import tornado.web
+from flask import request
+
+def up():
+    logging.info(request.get_json())  # expect: PF004
+    logging.info(request.args)  # expect: PF004
+""",
+}
+HANDLERS_JS = {
+    "src/server.js": """
+import express from "express";
+import Koa from "koa";
+const app = express();
+app.post("/signup", (req, res) => { console.log(req.body); console.log(res.body); }); // expect: PF004
+function handler(req, res) {
+  console.log(req.query); // expect: PF004
+  console.log(req.ip); // expect: PF001
+}
+app.get("/x", handler);
+function other(req) { console.log(req.query); }
+""",
+    "app/users/route.ts": """
+export async function POST(request: Request) {
+  const b = await request.json();
+  console.log(b); // expect: PF004
+}
+export const helper = (request) => { console.log(request.json()); };
+""",
+    "pages/api/x.js": """
+export default function run(req, res) { console.log(req.body); } // expect: PF004
+""",
+}
+
+
+def test_handlers_of_frameworks(spark):
+    for files, lower, lang, methods, foreign in ((HANDLERS_PY, python.lower_files, "python", catalogue.PY_METHODS, "Tornado"), (HANDLERS_JS, scripts.lower_files, "javascript", catalogue.JS_METHODS, "Koa")):
+        r = held(spark, files, lower, lang, methods)
+        at = {(x.path, x.line) for x in r.flows.join(r.sinks.withColumnRenamed("id", "sink"), "sink").collect()}
+        assert at == {(p, n) for _, p, n in marks(files)}
+        assert ("unsupported_framework", foreign) in {(g.kind, g.detail) for g in r.gaps.collect()}
+
+
+def test_every_sink_entry_is_decided(spark):
+    """A path made of each entry's first pattern meets that entry, or one before it that covers the path too."""
+    from dataspoor.operators import lookup as L
+    from dataspoor.sources import values as V
+
+    def made(p):
+        p = re.sub(r"\{([^{},]*)[^{}]*\}", r"\1", re.sub(r"\{([^{},]*)[^{}]*\}", r"\1", p))
+        return p.replace("**.", "").replace("**", "x").replace("*", "x")
+
+    rows = [(n, made(calls.split()[0]), catalogue.lang_of(e)) for n, (e, _, _, calls) in enumerate(V.SINKS) if calls]
+    got = {r.stmt: (r.kind, r.entry) for r in L.decide(spark.createDataFrame(rows, "stmt int, path string, lang string"), catalogue.rules(spark)).collect()}
+    assert len(got) == 143 and all(kind == "sink" for kind, _ in got.values())
+    assert sum(got[n][1] == V.SINKS[n][0] for n, _, _ in rows) >= 135
+    assert (len(V.SINKS), len(V.SOURCES), len(V.PROPAGATORS), len(V.SANITISERS), len(V.FRAMEWORKS)) == (148, 20, 26, 6, 43)
