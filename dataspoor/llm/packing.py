@@ -11,7 +11,7 @@ is a list of patterns with multiplicities, which pieces then find by their rank
 among the pieces of their length.
 
 The incumbent is returned when it meets a lower bound, when all branches are
-done, or after `nodes` nodes; with nodes=None the search is exact.
+done, or after `steps` steps; with steps=None the search is exact.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .common import cut, unused
 CAPACITY = 2048
 #: Ranks within one length are taken in parts of so many pieces, or of a 65,536th of all where that is more.
 PART_ROWS, MOST_PARTS = 4096, 1 << 16
-#: Nodes that the search opens before the incumbent stands; None: as many as there are.
-NODES: int | None = 4000
+#: Fillings and branches that the search looks at before the incumbent stands; None: as many as there are.
+STEPS: int | None = 10_000
 
 Pattern = tuple[int, ...]
 Plan = list[tuple[Pattern, int]]
@@ -38,15 +38,18 @@ Plan = list[tuple[Pattern, int]]
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences needed at least: by the total, and by large pieces that can't share with each other."""
-    total = sum(x * n for x, n in counts.items())
-    best, sizes = -(-total // capacity), sorted(counts)
-    for least in [x for x in sizes if 2 * x <= capacity]:
-        alone = sum(counts[x] for x in sizes if x > capacity - least)
-        paired = [x for x in sizes if capacity < 2 * x and x <= capacity - least]
-        n, room = sum(counts[x] for x in paired), sum(counts[x] * (capacity - x) for x in paired)
-        small = sum(x * counts[x] for x in sizes if least <= x and 2 * x <= capacity)
-        best = max(best, alone + n + max(0, -(-(small - room) // capacity)))
-    return max(best, sum(n for x, n in counts.items() if 2 * x > capacity))
+    number, weight = [0], [0]  # of pieces up to each length
+    for x in range(1, capacity + 1):
+        n = counts.get(x, 0)
+        number.append(number[-1] + n)
+        weight.append(weight[-1] + n * x)
+    half, best = capacity // 2, -(-weight[capacity] // capacity)
+    for least in range(1, half + 1):
+        # Pieces over capacity - least are alone; those over half don't share, and leave room for smaller ones.
+        large = number[capacity] - number[half]
+        room = capacity * (number[capacity - least] - number[half]) - (weight[capacity - least] - weight[half])
+        best = max(best, large + max(0, -(-(weight[half] - weight[least - 1] - room) // capacity)))
+    return best
 
 
 def _reached(counts: dict[int, int], sizes: list[int], gap: int) -> list[int]:
@@ -110,13 +113,17 @@ def _dominated(filling: Pattern, waste: int, counts: dict[int, int], free: int)
 
 def fillings(counts: dict[int, int], gap: int, waste: int | None = None) -> Iterator[Pattern]:
     """All undominated fillings of gap that leave no more than waste, least first, then those of the largest pieces."""
+    return (f for f in _judged(counts, gap, gap if waste is None else waste) if f is not None)
+
+
+def _judged(counts: dict[int, int], gap: int, waste: int) -> Iterator[Pattern | None]:
+    """fillings, with None for each one that is dominated, so that a caller can stop in between."""
     sizes = [x for x in sorted(counts) if counts[x] and x <= gap]
     reached, free = _reached(counts, sizes, gap), sum(1 << x for x in sizes)
-    for lost in range(min(gap, gap if waste is None else waste) + 1):
+    for lost in range(min(gap, waste) + 1):
         if reached[-1] >> gap - lost & 1:
             for f in _exactly(counts, sizes, reached, gap - lost, len(sizes)):
-                if not _dominated(f, lost, counts, free):
-                    yield f
+                yield None if _dominated(f, lost, counts, free) else f
 
 
 def _times(counts: dict[int, int], pattern: Pattern) -> int:
@@ -156,15 +163,19 @@ def _less(counts: dict[int, int], pattern: Pattern, n: int) -> dict[int, int]:
     return rest
 
 
-def _branches(counts: dict[int, int], capacity: int, waste: int, after: tuple | None) -> Iterator[tuple[Pattern, int]]:
-    """(pattern, times) around the largest length: most times first, then halves, then all other numbers.
+def _branches(counts: dict[int, int], capacity: int, waste: int, after: tuple | None) -> Iterator[tuple[Pattern, int] | None]:
+    """(pattern, times) around the largest length: most times first, then halves, then all other numbers; None: a dominated one.
 
     after: order of the pattern that the same length took before; equal lengths
     take theirs in order, so that no set of sequences is met twice.
     """
     top = max(counts)
-    for f in fillings(_less(counts, (top,), 1), capacity - top, waste):
+    for f in _judged(_less(counts, (top,), 1), capacity - top, waste):
+        if f is None:
+            yield None
+            continue
         if after is not None and (capacity - top - sum(f), [-x for x in f]) <= (after[0], after[1]):
+            yield None
             continue
         pattern = (top, *f)
         most = min(_times(counts, pattern), waste // lost if (lost := capacity - sum(pattern)) else 1 << 62)
@@ -173,8 +184,8 @@ def _branches(counts: dict[int, int], capacity: int, waste: int, after: tuple |
         yield from ((pattern, n) for n in range(most, 0, -1) if n not in first)
 
 
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> Plan:
-    """Patterns and how often each is used; never more sequences than best fit needs, and the fewest with nodes=None."""
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, steps: int | None = STEPS) -> Plan:
+    """Patterns and how often each is used; never more sequences than best fit needs, and the fewest with steps=None."""
     total = sum(x * n for x, n in histogram.items())
     bound = lower_bound(histogram, capacity)
     best = best_fit(histogram, capacity)
@@ -187,10 +198,14 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
     # Depth first without recursion: a frame holds what is left, the sequences and the waste so far, and its branches to come.
     used: Plan = []
     frames = [(dict(histogram), 0, 0, _branches(histogram, capacity, spare(), None))] if bins > bound else []
-    opened = 1
-    while frames and bins > bound and (nodes is None or opened <= nodes):
+    taken = 0
+    while frames and bins > bound and (steps is None or taken < steps):
         counts, n_bins, waste, branches = frames[-1]
-        pattern, n = next(branches, ((), 0))
+        taken += 1
+        branch = next(branches, ((), 0))
+        if branch is None:
+            continue
+        pattern, n = branch
         if not n:
             frames.pop()
             if used:
@@ -207,7 +222,6 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: i
         after = (capacity - sum(pattern), [-x for x in pattern[1:]]) if same and n < _times(counts, pattern) else None
         used.append((pattern, n))
         frames.append((rest, n_bins + n, lost, _branches(rest, capacity, spare() - lost, after)))
-        opened += 1
     return best
 
 
@@ -256,7 +270,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, split: str = "
     return rows.mapInArrow(_cutter(vocabulary, split, end_id, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int | None = STEPS) -> DataFrame:
     """pieces (doc_id, piece, length, ...) with sequence_id and offset, each piece placed once.
 
     Lengths must be 1..capacity. Repeated rows are placed one by one. Without
@@ -277,7 +291,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES)
     for x, p, n in sorted(sizes):
         bases.append((x, p, seen[x]))
         seen[x] += n
-    plan = spark.createDataFrame(places(bin_completion(histogram, capacity, nodes)), f"{key} long, lo long, hi long, first long, copies long, at long")
+    plan = spark.createDataFrame(places(bin_completion(histogram, capacity, steps)), f"{key} long, lo long, hi long, first long, copies long, at long")
     base = spark.createDataFrame(bases, f"length long, {part} int, {base_} long")
     order = Window.partitionBy("length", part).orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
     ranked = dealt.withColumn(row, F.row_number().over(order).cast("long") - 1).join(F.broadcast(base), ["length", part]).withColumn(rank, F.col(base_) + F.col(row))

@@ -179,7 +179,7 @@ def test_perfect_packings_are_found():
 
 def test_one_length_that_fills_most_rows(spark):
     pieces = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") < 9000, 2048).when(F.col("id") < 19_000, 700).otherwise(F.col("id") % 650 + 1).cast("long").alias("length"))
-    got = packing.pack(pieces.withColumn("part", F.lit(3)), nodes=50)
+    got = packing.pack(pieces.withColumn("part", F.lit(3)), steps=50)
     assert got.columns == ["doc_id", "piece", "length", "part", "sequence_id", "offset"] and got.count() == 20_000
     by = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("p"))
     for n, p in by.select("n", "p").collect():
