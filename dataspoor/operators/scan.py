@@ -20,6 +20,7 @@ from . import exposure as X
 from . import graph as G
 from . import handlers as H
 from . import lookup as L
+from . import program as R
 from . import propagation as P
 
 _PROCESSORS = "ordinal int, name string, sink_regex string, host string, citation string"
@@ -78,11 +79,9 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     decided = L.decide(rest.filter("how = 'api'").select(F.col("sid").alias("stmt"), F.col("callee").alias("path"), F.lit(lang).alias("lang")), rules).select(F.col("stmt").alias("sid"), "kind", "entry")
     by_rule = G.cut(rest.join(decided.filter("kind is not null").withColumnRenamed("kind", "decision"), "sid").join(F.broadcast(entries), "entry"))
     unruled = rest.join(by_rule.select("sid"), "sid", "left_anti")
-    last = F.regexp_extract("callee", r"([^.]*)$", 1)
     loggers, log_methods = catalogue.LOGGERS[lang]
-    logs = unruled.filter(F.col("field").isin(*loggers) & last.isin(*log_methods))
-    flow_of = F.create_map(*[x for flow, names in methods.items() for m in names for x in (F.lit(m), F.lit(flow))])
-    left = G.cut(unruled.join(logs.select("sid"), "sid", "left_anti").withColumn("flow", F.when(F.col("how") == "method", F.try_element_at(flow_of, F.col("callee")))))
+    ladder = G.cut(R.method_ladder(unruled, loggers, log_methods, methods, catalogue.receivers(lang)))
+    logs, left = ladder.filter("step = 'sink'"), ladder.filter("step <> 'sink'")
 
     # Edges.
     needs = F.transform(F.filter("args", lambda a: a["var"].isNotNull()), lambda a: a["var"])

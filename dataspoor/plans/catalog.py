@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, classify, documents, engine, facts, linking, projects, reports, revisions, scalars, topology  # noqa: F401
+from . import analytics, classify, documents, engine, facts, linking, programs, projects, reports, revisions, scalars, topology  # noqa: F401
 from .registry import PLANS, SQL
 
 

@@ -49,12 +49,6 @@ def b20_explain(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("pos % 3 = 1")
 
 
-@plan("SELECT lang, count(*) AS files, count(*) FILTER (WHERE contains(text, 'License')) AS frameworks, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
-def b21_doctor(spark, sf):
-    """What a scan would find, by language."""
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("text").contains("License")).alias("frameworks"), F.sum("n_chars").alias("chars"))
-
-
 @plan("WITH RECURSIVE c AS (SELECT p_partkey AS cfg, p_partkey AS x, 0 AS d FROM part UNION ALL SELECT cfg, x // 3, d + 1 FROM c WHERE x % 3 = 0 AND x > 0 AND d < 8) SELECT cfg, arg_min(p_size, d) AS target FROM c JOIN part ON p_partkey = x WHERE p_size > 10 GROUP BY cfg")
 def a25_extends_chain(spark, sf):
     """Setting of a configuration through those that it extends, the nearest first."""

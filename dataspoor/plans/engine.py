@@ -169,8 +169,7 @@ def e8_post_order(spark, sf):
 _DEFS = "SELECT p_partkey AS a, CASE WHEN p_partkey % 3 > 0 THEN p_partkey - 1 END AS b FROM part"
 
 
-@plan(f"WITH RECURSIVE e AS ({_DEFS}), r AS (SELECT a AS var, a AS origin, 0 AS depth FROM e UNION ALL SELECT var, e.b, depth + 1 FROM r JOIN e ON r.origin = e.a WHERE e.b IS NOT NULL AND depth < 8) SELECT var, arg_max(origin, depth) AS origin FROM r GROUP BY var")
-def d18_copy_origin(spark, sf):
+def _copy_origin(spark, sf):
     """Where a variable comes from through single plain copies, to eight steps: pointer doubling, three rounds."""
     p = F.col("p_partkey")
     hop = table(spark, sf, "part").select(p.alias("var"), F.when(p % 3 > 0, p - 1).otherwise(p).alias("origin"))
@@ -183,20 +182,7 @@ def d18_copy_origin(spark, sf):
 def d17_literal_prefix(spark, sf):
     """The literal at the origin of a variable."""
     text = table(spark, sf, "part").select(F.col("p_partkey").alias("origin"), F.col("p_name").alias("literal"))
-    return d18_copy_origin(spark, sf).join(text, "origin").select("var", "literal")
-
-
-@plan("SELECT p.p_partkey AS var, q.p_type AS callee FROM part p JOIN part q ON q.p_partkey = p.p_partkey - p.p_partkey % 3 WHERE q.p_size > 20")
-def d19_defining_call(spark, sf):
-    """The call that defines a variable, seen through copies."""
-    calls = table(spark, sf, "part").filter("p_size > 20").select(F.col("p_partkey").alias("origin"), F.col("p_type").alias("callee"))
-    return d18_copy_origin(spark, sf).join(calls, "origin").select("var", "callee")
-
-
-@plan("SELECT p.p_partkey AS receiver, q.p_partkey AS origin FROM part p JOIN part q ON q.p_partkey = p.p_partkey - p.p_partkey % 3 WHERE q.p_brand LIKE 'Brand#1%'")
-def d30_receiver_origins(spark, sf):
-    made = table(spark, sf, "part").filter("p_brand like 'Brand#1%'").select(F.col("p_partkey").alias("origin"))
-    return d18_copy_origin(spark, sf).join(made, "origin", "left_semi").select(F.col("var").alias("receiver"), "origin")
+    return _copy_origin(spark, sf).join(text, "origin").select("var", "literal")
 
 
 _REMOVES = (("user.contact",), ("user",), ("user.authorization", "unknown"))
@@ -270,18 +256,6 @@ def e15_member_access(spark, sf):
     return api.union(p.filter("p_size <= 25").select("p_partkey", F.concat(F.lit("fn:"), "p_name").alias("prov"))).distinct()
 
 
-@plan(f"SELECT b AS base, count(*) AS subclasses FROM ({_BASES}) GROUP BY b")
-def e22_hierarchy(spark, sf):
-    return _bases(spark, sf).groupBy(F.col("b").alias("base")).agg(F.count(F.lit(1)).alias("subclasses"))
-
-
-@plan(f"SELECT a AS subclass, b AS base, method FROM (SELECT a, b FROM ({_BASES})) JOIN (SELECT l_partkey, l_linenumber AS method, count(*) AS stmts FROM lineitem GROUP BY 1, 2) ON l_partkey = b WHERE stmts < 200000")
-def e23_specialise(spark, sf):
-    """Template methods copied for each subclass, within a budget of statements."""
-    methods = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("b"), F.col("l_linenumber").alias("method")).agg(F.count(F.lit(1)).alias("stmts")).filter("stmts < 200000")
-    return _bases(spark, sf).join(methods, "b").select(F.col("a").alias("subclass"), F.col("b").alias("base"), "method")
-
-
 @plan("SELECT o_custkey AS box, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS elements FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey")
 def e24_container(spark, sf):
     """What may come out of a container: all that was put in."""
@@ -305,11 +279,6 @@ def e27_field_links(spark, sf):
     return _bases(spark, sf).join(fields, "b").select(F.col("a").alias("subclass"), F.col("b").alias("base"), "field")
 
 
-@plan("SELECT l_orderkey AS stmt, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS targets FROM lineitem GROUP BY l_orderkey")
-def e28_call_targets(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("stmt")).agg(F.array_join(F.array_sort(F.collect_set("l_suppkey")), ",").alias("targets"))
-
-
 @plan("SELECT p_name AS key, min(p_partkey) AS id, count(*) AS parts FROM part GROUP BY p_name")
 def e32_partial_merge(spark, sf):
     """Parts of one class become one, under the first part's id."""

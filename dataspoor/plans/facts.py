@@ -84,21 +84,6 @@ def c25_accessor_fields(spark, sf):
     return table(spark, sf, "part").join(F.broadcast(listed), ["p_type", "p_brand"], "left_anti").select("p_partkey")
 
 
-@plan("SELECT DISTINCT l_partkey AS var FROM lineitem WHERE l_returnflag = 'R' UNION SELECT p_partkey FROM part WHERE p_size > 40")
-def c27_records(spark, sf):
-    """Variables used as records: named fields are read, or methods called."""
-    reads = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("var"))
-    return reads.union(table(spark, sf, "part").filter("p_size > 40").select("p_partkey")).distinct()
-
-
-@plan("WITH rec AS (SELECT p_partkey AS v FROM part WHERE p_size > 40) SELECT p_partkey AS var FROM part WHERE p_partkey IN (SELECT v FROM rec) OR p_partkey + 1 IN (SELECT v FROM rec) OR p_partkey + 2 IN (SELECT v FROM rec) OR p_partkey + 3 IN (SELECT v FROM rec)")
-def c26_record_use(spark, sf):
-    """Variables whose value is used as a record within three copies."""
-    p = table(spark, sf, "part")
-    within = p.filter("p_size > 40").select(F.explode(F.sequence(F.col("p_partkey") - 3, F.col("p_partkey"))).alias("p_partkey")).distinct()
-    return p.join(within, "p_partkey", "left_semi").select(F.col("p_partkey").alias("var"))
-
-
 @plan("SELECT l_orderkey AS call, bool_or(l_returnflag = 'N') AS echoes FROM lineitem GROUP BY l_orderkey")
 def c28_echoes(spark, sf):
     """Whether any target of a call may echo its arguments."""
@@ -122,14 +107,6 @@ def c34_member_filter(spark, sf):
     return g.select("user_id", (wanted & ~F.array_contains("m", "purchase")).alias("selected"))
 
 
-@plan("SELECT p_partkey FROM part WHERE p_type <> 'PROMO' AND p_name NOT IN ('red widget', 'blue bolt') AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")
-def c35_skipped_parameters(spark, sf):
-    """Parameters that no rule skips by type, name or what they inject."""
-    p = table(spark, sf, "part")
-    injected = p.filter("p_size = 50").select("p_brand").distinct()
-    return p.filter("p_type <> 'PROMO' and p_name not in ('red widget', 'blue bolt')").join(injected, "p_brand", "left_anti").select("p_partkey")
-
-
 @plan("SELECT s_suppkey, starts_with(s_name, 'Supplier#00000000') AND s_nationkey IN (1, 2, 3) AS matches FROM supplier")
 def c36_project_match(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", (F.col("s_name").startswith("Supplier#00000000") & F.col("s_nationkey").isin(1, 2, 3)).alias("matches"))

@@ -71,26 +71,6 @@ def _small(spark, rows, schema):
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-@plan(f"SELECT event_id, sink FROM events JOIN ({_NAMED}) USING (event_type)")
-def d2_name_heuristic(spark, sf):
-    """Sinks known by their receiver's name and method alone."""
-    return table(spark, sf, "events").join(_small(spark, [("view", "log"), ("error", "tracker")], "event_type string, sink string"), "event_type").select("event_id", "sink")
-
-
-@plan(f"SELECT event_id, coalesce(h.sink, m.method, CASE WHEN user_id % 3 = 0 THEN 'receiver' END, 'gap') AS decision FROM events e LEFT JOIN ({_NAMED}) h USING (event_type) LEFT JOIN (VALUES ('click', 'data')) m(event_type, method) ON m.event_type = e.event_type")
-def d3_plain_method(spark, sf):
-    """A method of an unknown receiver: named sink, data method, receiver's propagator, else a gap."""
-    e = table(spark, sf, "events").join(_small(spark, [("view", "log"), ("error", "tracker")], "event_type string, sink string"), "event_type", "left").join(_small(spark, [("click", "data")], "event_type string, method string"), "event_type", "left")
-    return e.select("event_id", F.coalesce("sink", "method", F.when(F.col("user_id") % 3 == 0, "receiver"), F.lit("gap")).alias("decision"))
-
-
-@plan("SELECT l_orderkey, l_linenumber, ordinal FROM lineitem JOIN (SELECT l_returnflag, min(o) AS ordinal FROM (VALUES ('R', 3), ('R', 1), ('A', 2)) t(l_returnflag, o) GROUP BY 1) USING (l_returnflag)")
-def d4_data_method(spark, sf):
-    """The first data method of a name."""
-    first = spark.createDataFrame([("R", 3), ("R", 1), ("A", 2)], "l_returnflag string, o int").groupBy("l_returnflag").agg(F.min("o").alias("ordinal"))
-    return table(spark, sf, "lineitem").join(F.broadcast(first), "l_returnflag").select("l_orderkey", "l_linenumber", "ordinal")
-
-
 @plan("SELECT event_id, 'document.' || event_type AS property FROM events WHERE regexp_matches('document.' || event_type, '^document[.][^.]*i[^.]*$')")
 def d5_assign_sink(spark, sf):
     """Writes of properties that are sinks."""
@@ -142,41 +122,16 @@ def d11_type_fit(spark, sf):
     return j.select("l_orderkey", "l_linenumber", (F.col("p_size").isNull() | F.coalesce(F.col("p_size") > 20, F.lit(False))).alias("fits"), F.col("p_size").isNull().alias("open"))
 
 
-@plan("SELECT p_partkey AS fn, 'decorator' AS how FROM part WHERE p_type = 'SMALL' UNION SELECT p_partkey, 'file' FROM part WHERE p_size < 5 UNION SELECT p_partkey, 'base' FROM part WHERE p_brand = 'Brand#3' UNION SELECT l_partkey, 'registration' FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1")
-def d12_find_handlers(spark, sf):
-    """Request handlers by how they are known; the part table is read once for its three ways."""
-    p = table(spark, sf, "part")
-    ways = F.array(F.when(F.col("p_type") == "SMALL", "decorator"), F.when(F.col("p_size") < 5, "file"), F.when(F.col("p_brand") == "Brand#3", "base"))
-    own = p.select(F.col("p_partkey").alias("fn"), F.explode(ways).alias("how")).filter("how is not null")
-    calls = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 1").select(F.col("l_partkey").alias("fn"), F.lit("registration").alias("how"))
-    return own.union(calls).distinct()
-
-
 _FIELDS = "(VALUES ('ECONOMY', 'email', 'user.contact.email'), ('ECONOMY', 'name', 'unknown'), ('SMALL', 'phone', 'user.contact.phone_number')) t(type, field, category)"
 _TYPED = [("ECONOMY", "email", "user.contact.email"), ("ECONOMY", "name", "unknown"), ("SMALL", "phone", "user.contact.phone_number")]
 
 
-@plan(f"SELECT p_partkey AS var, field, category FROM part JOIN {_FIELDS} ON type = p_type")
-def d13_typed_seeds(spark, sf):
-    """Seeds of variables by the fields of their type."""
-    fields = _small(spark, _TYPED, "p_type string, field string, category string")
-    return table(spark, sf, "part").join(fields, "p_type").select(F.col("p_partkey").alias("var"), "field", "category")
-
-
 @plan("SELECT DISTINCT l_partkey AS var, l_linenumber AS field FROM lineitem WHERE l_shipdate > TIMESTAMP '1995-01-01' AND l_linenumber <= 3")
 def d14_property_seeds(spark, sf):
     """Attributes that are set from requests."""
     return table(spark, sf, "lineitem").filter("l_shipdate > timestamp_ntz'1995-01-01 00:00:00' and l_linenumber <= 3").select(F.col("l_partkey").alias("var"), F.col("l_linenumber").alias("field")).distinct()
 
 
-@plan(f"SELECT p_partkey AS param, CASE WHEN p_type IN (SELECT type FROM {_FIELDS}) THEN 'typed' WHEN p_name LIKE 'red%' THEN 'by_name' ELSE 'whole' END AS rule FROM part WHERE p_size < 30")
-def d15_handler_seeds(spark, sf):
-    """How a handler's parameter is a source: by type, then by name, then as a whole."""
-    typed = _small(spark, sorted({(t, True) for t, _, _ in _TYPED}), "p_type string, typed boolean")
-    p = table(spark, sf, "part").filter("p_size < 30").join(typed, "p_type", "left")
-    return p.select(F.col("p_partkey").alias("param"), F.when(F.col("typed"), "typed").when(F.col("p_name").startswith("red"), "by_name").otherwise("whole").alias("rule"))
-
-
 @plan("SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN 'kw' || l_suppkey END, CASE WHEN l_returnflag = 'R' THEN 'pos' || l_partkey END, w.host) AS host FROM lineitem LEFT JOIN (SELECT s_suppkey, 'wrap' || s_nationkey AS host FROM supplier WHERE s_acctbal > 0) w ON s_suppkey = l_suppkey")
 def d16_call_host(spark, sf):
     """Host of a request: keyword, then position, then what its wrapper was built with."""

@@ -23,11 +23,6 @@ def a2_directory_walk(spark, sf):
     return files.walk(spark, sf).select("path", "length")
 
 
-@plan()
-def a13_rule_catalogue(spark, sf):
-    return catalogue.rules(spark).select("ordinal", "lang", "kind", "entry", "pattern", "regex")
-
-
 def _made(spark, sf, ending, text):
     return table(spark, sf, "part").select(_cat("p", F.col("p_partkey"), ending).alias("path"), text.alias("text"))
 

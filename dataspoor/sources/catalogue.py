@@ -56,6 +56,11 @@ def rules(spark: SparkSession, extensions: list[tuple] = ()) -> DataFrame:
     return spark.createDataFrame(flat, "ordinal int, lang string, kind string, entry string, pattern string, literal boolean, regex string, class string, processor string, removes string, flow string")
 
 
+def receivers(lang: str) -> dict[str, str]:
+    """Receivers that are known by name, with the flow of all their methods."""
+    return {name: flow for entry, flow, _, _, names_ in V.PROPAGATORS if lang_of(entry) == lang for name in names_.split()}
+
+
 def source_categories() -> dict[str, str]:
     """Category of what each request source reads, where the catalogue says one."""
     return {e: category for e, _, _, category, _, _ in V.SOURCES if category}

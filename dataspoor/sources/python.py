@@ -117,7 +117,7 @@ class Lowering(ast.NodeVisitor):
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self.add("class", node, field=node.name, parts=[self.api(b) or "" for b in node.bases], text=f"class {node.name}")
+        self.add("class", node, field=node.name, parts=[self.api(b) or getattr(b, "id", "") for b in node.bases], text=f"class {node.name}")
         held, self.cls = self.cls, node.name
         self.block(node.body)
         self.cls = held
