@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .coding import small_batches
 
-#: Words and lists of gaps kept per worker, some 300 bytes each.
-ROOM = 1_000_000
+#: Words and lists of gaps kept per worker, some 300 bytes each, in two generations of half as many.
+ROOM = 1_600_000
 #: Pieces are kept for so many gaps at most, of words of so many characters at most.
 KEPT_GAPS, KEPT_CHARS = 2, 48
 DROPOUT = 0.1
@@ -58,6 +58,7 @@ class PieceCoder:
         self.steps = np.array([int((1 - dropout) ** k * (1 << 64)) for k in range(longest, 0, -1)], np.uint64)
         # By word: [candidates after the last skipped one, ids, the same by a further gap].
         self.known: dict = {}
+        self.old: dict = {}
         self.held = 0
 
     def key(self, doc_id) -> int:
@@ -103,22 +104,25 @@ class PieceCoder:
 
     def fresh(self, unit: str, gaps: tuple[int, ...], more, kept: dict | None, at) -> bytes:
         """Ids of a word with these gaps and then `more`; put into kept if all gaps but the last skip one."""
-        ids, byte, got = self.ids_of, self.byte, []
         found, skipped, n = self.segment(unit, chain(gaps, more))
-        for p in found:
-            if (k := ids(p)) is not None:
-                got.append(k)
-            else:
-                got += [byte[b] for b in p.encode()]
+        got = list(map(self.ids_of, found))
+        if None in got:  # a character that is no piece stands as its bytes
+            got = [k for p, x in zip(found, got) for k in ([self.byte[b] for b in p.encode()] if x is None else [x])]
         out = array("I", got).tobytes()
         if kept is not None and skipped == len(gaps) - 1 and len(unit) <= KEPT_CHARS:
-            if self.held >= ROOM:
-                self.known.clear()
-                self.held = 0
-            kept[at] = [n, out, None]
-            self.held += 1
+            self.hold(kept, at, [n, out, None])
         return out
 
+    def hold(self, kept: dict, at, entry: list) -> None:
+        """Put an entry into known or below it; half of ROOM makes known the older generation."""
+        if self.held >= ROOM // 2:
+            self.old.clear()
+            self.old.update(self.known)
+            self.known.clear()
+            self.held = 0
+        kept[at] = entry
+        self.held += 1
+
     def units(self, text: str) -> list:
         """Words with their mark; None stands for the mark itself as a character of the text."""
         if not text:
@@ -136,13 +140,16 @@ class PieceCoder:
         """Ids as native 32-bit unsigned integers; an empty text has none."""
         units = self.units(text)
         n = len(units)
-        known, fresh, out = self.known, self.fresh, []
+        known, old, fresh, out = self.known, self.old, self.fresh, []
         first = self.gaps(key, 0, n) if self.dropout else repeat(-1, n)
         more = chain.from_iterable(self.gaps(key, k, n) for k in count(n, n)) if self.dropout else repeat(-1)
         for unit, gap in zip(units, first):
             if unit is None:
                 out.append(self.mark)
-            elif (x := known.get(unit)) is None:
+                continue
+            if (x := known.get(unit)) is None and (x := old.get(unit)) is not None:
+                self.hold(known, unit, x)
+            if x is None:
                 out.append(fresh(unit, (gap,), more, known, unit))
             elif not -1 < gap < x[0]:
                 out.append(x[1])
