@@ -81,3 +81,57 @@ def renamed(old: DataFrame, new: DataFrame) -> DataFrame:
     come = new.join(old.select("id"), "id", "left_anti").select(F.col("id").alias("new_id"), "evidence")
     one = lambda df, c: df.groupBy("evidence").agg(F.min(c).alias(c), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     return one(gone, "old_id").join(one(come, "new_id"), "evidence").select("old_id", "new_id")
+
+
+def dropped(decisions: DataFrame, left: DataFrame) -> DataFrame:
+    """(finding): decisions other than `open` that no finding is left for."""
+    return decisions.filter("status <> 'open'").select("finding").distinct().join(left.select("finding"), "finding", "left_anti")
+
+
+def evidence_grew(ours: Column, theirs: Column) -> Column:
+    """Whether an accepted declaration goes back to review: its evidence holds what the accepted one didn't."""
+    return F.size(F.array_except(ours, theirs)) > 0
+
+
+def live_references(references: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """references whose target is left; the others dangle and go."""
+    return references.join(targets.select(key).distinct(), key, "left_semi")
+
+
+def same_node(fields: list[tuple[Column, Column]]) -> Column:
+    """Whether two nodes are equal field by field; notes aren't among the fields."""
+    out = F.lit(True)
+    for a, b in fields:
+        out = out & a.eqNullSafe(b)
+    return out
+
+
+def identity(kind: Column, key: Column, name: Column) -> Column:
+    """What a list's element is known by: its typed key, its key, else its name."""
+    return F.coalesce(F.concat(kind, F.lit(":"), key), key, name)
+
+
+def quarantined(rows: DataFrame, lacks: list[tuple[Column, str]], key: str) -> DataFrame:
+    """(key, reason): rows that lack something, with the first thing that they lack."""
+    reason = None
+    for test, name in lacks:
+        reason = (F if reason is None else reason).when(test, F.lit(name))
+    return rows.select(key, reason.alias("reason")).filter("reason is not null")
+
+
+def integrity(keys: DataFrame, key: str, references: DataFrame, reference: str, targets: DataFrame, target: str) -> DataFrame:
+    """(problem): keys that come twice, and references without a target."""
+    twice = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.concat(F.lit("duplicate "), key).alias("problem"))
+    used = references.select(F.col(reference).alias("__target")).distinct()
+    lost = used.join(targets.select(F.col(target).alias("__target")), "__target", "left_anti")
+    return twice.unionByName(lost.select(F.concat(F.lit("dangling "), "__target").alias("problem")))
+
+
+def not_rederived(stored: DataFrame, derived: DataFrame) -> DataFrame:
+    """Stored rows that a second derivation doesn't give, repeated ones counted."""
+    return stored.exceptAll(derived)
+
+
+def with_extensions(catalogue: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Entries of the catalogue, then of the project, each with its origin."""
+    return catalogue.withColumn("origin", F.lit("catalogue")).unionByName(extensions.withColumn("origin", F.lit("config")))

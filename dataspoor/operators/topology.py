@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Data uses by sink class.
-PURPOSES = {
-    "analytics": "analytics.reporting",
-    "error_tracking": "essential.service.operations.support",
-    "llm": "functional.service",
-    "messaging": "essential.service.notifications",
-    "http": "essential.service",
-    "third_party": "third_party_sharing",
-}
+from ..sources.catalogue import purposes
+
+#: Data uses proposed by sink class.
+PURPOSES = purposes()[1]
 
 
 def edges(attributed: DataFrame) -> DataFrame:
@@ -68,3 +63,9 @@ def field_categories(fields, depth: int = 3):
 def consolidate(nodes: DataFrame, identity: str, order: str) -> DataFrame:
     """One node an identity: the first value in order, the union of the sets."""
     return nodes.groupBy(identity).agg(F.min_by("value", order).alias("value"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def proposed_use(processor: Column, sink_class: Column, by_processor: dict[str, str], by_class: dict[str, str]) -> Column:
+    """The data use proposed for what is sent to a processor: by its name, else by the sink's class, else none."""
+    table = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(by_processor), processor), F.try_element_at(table(by_class), sink_class))

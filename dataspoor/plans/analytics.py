@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordering as O
 from ..operators import statistics as S
 from .registry import plan
 from .relations import table
@@ -102,38 +102,32 @@ def l8_site_quota(spark, sf):
 @plan("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
 def g4_hop_collapse(spark, sf):
     """Steps of each path without consecutive repeats."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", F.lag("event_type").over(w).alias("before"))
-    return rows.filter(~F.col("event_type").eqNullSafe(F.col("before"))).select("user_id", "event_id", "event_type")
+    return O.collapse_runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
 @plan("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE k = 1 OR k = n OR before <> event_type""")
 def l9_line_collapse(spark, sf):
     """As g4, but the first and the last hop always stay."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", F.lag("event_type").over(w).alias("before"), F.row_number().over(w).alias("k"), F.lead("event_id").over(w).alias("next"))
-    return rows.filter((F.col("k") == 1) | F.col("next").isNull() | (F.col("before") != F.col("event_type"))).select("user_id", "event_id")
+    return O.collapse_runs(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", ends=True).select("user_id", "event_id")
 
 
 @plan(r"SELECT doc_id, n AS line, m AS call FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n FROM documents), LATERAL (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS m)")
 def l10_candidate_sites(spark, sf):
     """Places of the text that look like a sink, with their line."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "t"))
-    return lines.select("doc_id", (F.col("n") + 1).alias("line"), F.explode(F.regexp_extract_all("t", F.lit("([A-Za-z0-9._]+@[A-Za-z0-9.]+)"), F.lit(1))).alias("call"))
+    return O.candidate_sites(table(spark, sf, "documents"), "doc_id", "text", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+")
 
 
 @plan("SELECT count(*) FILTER (WHERE a.source IS NOT NULL AND b.source IS NOT NULL) AS shared, count(*) FILTER (WHERE b.source IS NULL) AS only_a, count(*) FILTER (WHERE a.source IS NULL) AS only_b FROM (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 3 = 0) b ON a.source = b.source AND a.lang = b.lang")
 def l11_tool_overlap(spark, sf):
     """Sites that two tools report: shared ones and each one's own, in one aggregation."""
     d = table(spark, sf, "documents").select("source", "lang", (F.col("doc_id") % 2 == 0).alias("a"), (F.col("doc_id") % 3 == 0).alias("b"))
-    g = d.groupBy("source", "lang").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return g.agg(F.count_if(F.col("a") & F.col("b")).alias("shared"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
+    return O.overlap(d, ["source", "lang"], "a", "b")
 
 
 @plan("SELECT doc_id, CASE WHEN quality = toxic THEN quality::VARCHAR ELSE 'unsure' END AS verdict FROM labels")
 def l12_final_labels(spark, sf):
-    return table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == F.col("toxic"), F.col("quality").cast("string")).otherwise("unsure").alias("verdict"))
+    return table(spark, sf, "labels").select("doc_id", O.final_label(F.col("quality"), F.col("toxic")).alias("verdict"))
 
 
 @plan("SELECT event_type, round(median(value), 4) AS median, count(*) AS n FROM events GROUP BY event_type")
@@ -143,22 +137,21 @@ def l13_medians(spark, sf):
 
 @plan("SELECT lang, count(*) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY lang")
 def f9_language_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n"))).alias("lines"))
+    return O.line_counts(table(spark, sf, "documents"), "lang", "text")
 
 
 @plan("SELECT o_custkey AS seed, l_suppkey AS target, min(l_linenumber * 100 + trunc(l_quantity))::BIGINT AS best FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def g2_best_witness(spark, sf):
     """The shortest witness of each (seed, target), then the shallowest: an aggregate, no sort."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    g = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("seed"), F.col("l_suppkey").alias("target"))
-    return g.agg(F.min(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"))).alias("w")).select("seed", "target", (F.col("w.l_linenumber") * 100 + F.col("w.q")).cast("long").alias("best"))
+    reached = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("seed"), F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("dist"), F.col("l_quantity").cast("int").alias("depth"))
+    return O.first_of(reached, ["seed", "target"], ["dist", "depth"], ["dist", "depth"]).select("seed", "target", (F.col("dist") * 100 + F.col("depth")).cast("long").alias("best"))
 
 
 @plan("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY props, event_id) AS k FROM (SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props)) WHERE k <= 16")
 def h5_smallest_sixteen(spark, sf):
     """The 16 smallest paths of each variable stay."""
-    once = table(spark, sf, "events").groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"))
-    return once.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("props", "event_id"))).filter("k <= 16").select("user_id", "event_id")
+    return O.smallest(table(spark, sf, "events"), ["user_id"], "props", "event_id", 16).select("user_id", "event_id")
 
 
 @plan("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY props, event_id) AS k FROM (SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props)) WHERE k <= 16", name="e19_bounded_set")
@@ -170,27 +163,26 @@ def e19_bounded_set(spark, sf):
 def h4_top_sites(spark, sf):
     """The first sites and how many more there are."""
     g = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("s"))
-    more = F.when(F.size("s") > 3, F.concat(F.lit(" and "), F.size("s") - 3, F.lit(" more"))).otherwise("")
-    return g.select("user_id", F.concat(F.array_join(F.slice("s", 1, 3), ","), more).alias("sites"))
+    return g.select("user_id", O.shown(F.col("s"), 3).alias("sites"))
 
 
 @plan("SELECT event_id FROM (SELECT event_id, sum(v) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM (SELECT event_id, user_id, trunc(value)::BIGINT AS v FROM events)) WHERE total <= 200")
 def g10_running_budget(spark, sf):
     """What fits a budget in order."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", F.sum(F.col("value").cast("long")).over(w).alias("total")).filter("total <= 200").select("event_id")
+    rows = table(spark, sf, "events").withColumn("v", F.col("value").cast("long"))
+    return O.within_budget(rows, ["user_id"], ["event_id"], "v", 200).select("event_id")
 
 
 @plan("SELECT p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS k FROM part) WHERE k = 1")
 def g9_first_match(spark, sf):
     """The first entry in catalogue order wins."""
-    return table(spark, sf, "part").groupBy("p_type").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("p_partkey"))
+    return O.first_of(table(spark, sf, "part"), ["p_type"], ["p_size", "p_partkey"], ["p_partkey"])
 
 
 @plan("SELECT user_id, event_id, n FROM (SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) ORDER BY n, user_id, event_id")
 def h7_longest_first(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", F.dense_rank().over(w).cast("long").alias("n")).orderBy("n", "user_id", "event_id")
+    rows = O.ranked(table(spark, sf, "events"), ["user_id"], [F.desc("value"), F.asc("event_id")], "n")
+    return rows.select("user_id", "event_id", "n").orderBy("n", "user_id", "event_id")
 
 
 @plan("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", name="m_scope_rollup")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordering as O
 from ..sources import files as S
 from .registry import plan
 from .relations import table
@@ -46,7 +47,7 @@ def f10_static_gaps(spark, sf):
 @plan("SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS pos FROM documents) WHERE pos % 3 = 1")
 def b20_explain(spark, sf):
     """Source lines of the hops of a flow."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("pos % 3 = 1")
+    return O.lines_at(table(spark, sf, "documents"), "doc_id", "text", F.col("pos") % 3 == 1)
 
 
 @plan("WITH RECURSIVE c AS (SELECT p_partkey AS cfg, p_partkey AS x, 0 AS d FROM part UNION ALL SELECT cfg, x // 3, d + 1 FROM c WHERE x % 3 = 0 AND x > 0 AND d < 8) SELECT cfg, arg_min(p_size, d) AS target FROM c JOIN part ON p_partkey = x WHERE p_size > 10 GROUP BY cfg")
@@ -62,12 +63,6 @@ def a25_extends_chain(spark, sf):
     return reached.join(sets, "node").groupBy(F.col("start").alias("cfg")).agg(F.min_by("p_size", "depth").alias("target"))
 
 
-@plan("SELECT p_name AS fqn, count(*) AS parts, min(p_partkey) AS id, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS members FROM part GROUP BY p_name")
-def a31_declaration_index(spark, sf):
-    """Declarations of one class merged across files."""
-    return table(spark, sf, "part").groupBy(F.col("p_name").alias("fqn")).agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("id"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("members"))
-
-
 @plan()
 def a9_jsonc(spark, sf):
     """Comments and trailing commas stripped from configuration texts."""

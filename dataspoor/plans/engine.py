@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import graph as G
+from ..operators import program as R
 from .registry import plan
 from .relations import flows, sources, table, with_
 
@@ -282,4 +283,4 @@ def e27_field_links(spark, sf):
 @plan("SELECT p_name AS key, min(p_partkey) AS id, count(*) AS parts FROM part GROUP BY p_name")
 def e32_partial_merge(spark, sf):
     """Parts of one class become one, under the first part's id."""
-    return table(spark, sf, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("parts"))
+    return R.merge_parts(table(spark, sf, "part").withColumn("key", F.col("p_name")), ["key"], "p_partkey", "p_type").select("key", "id", "parts")

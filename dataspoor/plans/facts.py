@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import handlers as H
 from ..operators import propagation as P
 from .registry import plan
 from .relations import table
@@ -103,8 +104,7 @@ _TRAITS = "SELECT user_id, list_sort(list(DISTINCT event_type)) AS m FROM events
 def c34_member_filter(spark, sf):
     """Members with all required modifiers and none of the excluded ones."""
     g = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
-    wanted = F.size(F.array_except(F.array(F.lit("view"), F.lit("click")), "m")) == 0
-    return g.select("user_id", (wanted & ~F.array_contains("m", "purchase")).alias("selected"))
+    return g.select("user_id", H.is_member(F.col("m"), {"require": ["view", "click"], "exclude": ["purchase"]}).alias("selected"))
 
 
 @plan("SELECT s_suppkey, starts_with(s_name, 'Supplier#00000000') AND s_nationkey IN (1, 2, 3) AS matches FROM supplier")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex
+from ..operators import handlers as H
 from ..operators import lookup as L
 from .registry import plan
 from .relations import table
@@ -110,16 +111,19 @@ def d8_bind_arguments(spark, sf):
 @plan("SELECT DISTINCT l_orderkey AS call, s_suppkey AS handler FROM lineitem JOIN supplier ON s_nationkey = l_partkey % 25 WHERE l_returnflag = 'R'")
 def d9_dispatch(spark, sf):
     """Calls to the handlers of their argument's type."""
-    calls = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("call"), (F.col("l_partkey") % 25).cast("int").alias("s_nationkey")).distinct()
-    return calls.join(table(spark, sf, "supplier"), "s_nationkey").select("call", F.col("s_suppkey").alias("handler")).distinct()
+    calls = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("site"), F.lit("").alias("repo"), (F.col("l_partkey") % 25).cast("string").alias("type"))
+    s = table(spark, sf, "supplier")
+    classes = s.select(F.lit("").alias("repo"), F.col("s_suppkey").cast("string").alias("path"), F.lit("Handler").alias("cls"), F.lit("Bus.IHandler").alias("implements"), F.col("s_nationkey").cast("string").alias("type_arg"))
+    hits = H.dispatched(calls.distinct(), classes, [("Bus.{IHandler,IBehavior}", "Handle", "bus")])
+    return hits.select(F.col("site").alias("call"), F.col("path").cast(s.schema["s_suppkey"].dataType).alias("handler"))
 
 
 @plan("SELECT l_orderkey, l_linenumber, p_size IS NULL OR p_size > 20 AS fits, p_size IS NULL AS open FROM lineitem LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_type <> 'PROMO') ON p_partkey = l_partkey")
 def d11_type_fit(spark, sf):
     """Whether a type argument fits; an unknown one does and stays open."""
-    known = table(spark, sf, "part").filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    j = table(spark, sf, "lineitem").join(known, "l_partkey", "left")
-    return j.select("l_orderkey", "l_linenumber", (F.col("p_size").isNull() | F.coalesce(F.col("p_size") > 20, F.lit(False))).alias("fits"), F.col("p_size").isNull().alias("open"))
+    known = table(spark, sf, "part").filter("p_type <> 'PROMO'").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 20, "large").otherwise("small").alias("type"))
+    fit = H.type_fit(table(spark, sf, "lineitem").join(known, "l_partkey", "left").withColumn("formal", F.lit("large")), "type", "formal")
+    return fit.select("l_orderkey", "l_linenumber", "fits", "open")
 
 
 _FIELDS = "(VALUES ('ECONOMY', 'email', 'user.contact.email'), ('ECONOMY', 'name', 'unknown'), ('SMALL', 'phone', 'user.contact.phone_number')) t(type, field, category)"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import datasets
 from ..operators import handlers as H
 from ..operators import program as R
 from ..operators import scan as S
-from ..sources import catalogue, python
+from ..sources import catalogue, csharp, python
 from ..sources import values as V
 from .registry import plan
 from .relations import table
@@ -184,3 +185,52 @@ def b21_doctor(spark, sf):
 def a13_rule_catalogue(spark, sf):
     """How many entries and patterns the catalogue holds, by language and kind."""
     return catalogue.rules(spark).groupBy("lang", "kind").agg(F.count_distinct("entry").alias("entries"), F.count(F.lit(1)).alias("patterns"))
+
+
+def _csharp(spark, sf) -> DataFrame:
+    """A context and its entity in two parts for each part; an odd part's entity stands in a file of its own."""
+    k = F.col("p_partkey")
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x], F.lit("\n"))
+    head = line("namespace Shop.N", k % 3, ";")
+    context = F.concat(line("// Store of ", F.col("p_name")), line("public class Ctx", k, "(Options o) : DbContext(o) {"), line("  public DbSet<E", k, "> ", F.col("p_type"), "s { get; set; }"), line("  private readonly string text = @\"a}\"\"b\";"), line("}"))
+    one = F.concat(line("[Table(\"e\")]"), line("public partial class E", k, " : Entity<int>, IHas {"), line("  public string Email { get; set; } = \"{\";"), line("  public static int Count { get; set; }"), line("  public async Task<List<int>> Load<T>(int n, [FromBody] string q = \"x\") where T : class { if (n > 0) { return null; } }"), line("}"))
+    two = F.concat(line("public partial class E", k, " { public int? Size", F.col("p_size"), " => null; [NotMapped] public int Skip { get; } }"))
+    p = table(spark, sf, "part")
+    own = p.select(F.concat(F.lit("c"), k, F.lit(".cs")).alias("path"), F.concat(line("using System;"), head, context, F.when(k % 2 == 0, F.concat(one, two)).otherwise("")).alias("text"))
+    apart = p.filter(k % 2 == 1).select(F.concat(F.lit("e"), k, F.lit(".cs")).alias("path"), F.concat(head, one, two).alias("text"))
+    return own.unionByName(apart).select(F.lit("").alias("repo"), "path", "text")
+
+
+_NS = "'Shop.N' || (p_partkey % 3) || '.'"
+
+
+@plan(
+    f"""WITH p AS (SELECT *, {_NS} AS ns, 'c' || p_partkey || '.cs' AS own, CASE WHEN p_partkey % 2 = 0 THEN 'c' ELSE 'e' END || p_partkey || '.cs' AS apart FROM part)
+    SELECT own AS path, 'class' AS kind, ns || 'Ctx' || p_partkey AS fqn, NULL AS type FROM p UNION ALL SELECT own, 'property', ns || 'Ctx' || p_partkey || '.' || p_type || 's', 'DbSet<E' || p_partkey || '>' FROM p UNION ALL SELECT own, 'field', ns || 'Ctx' || p_partkey || '.text', 'string' FROM p
+    UNION ALL SELECT apart, t.kind, ns || 'E' || p_partkey || t.name, t.type FROM p, (VALUES ('class', '', NULL), ('property', '.Email', 'string'), ('property', '.Count', 'int'), ('method', '.Load', 'Task<List<int>>'), ('class', '', NULL), ('property', '.Skip', 'int')) t(kind, name, type)
+    UNION ALL SELECT apart, 'property', ns || 'E' || p_partkey || '.Size' || p_size, 'int?' FROM p"""
+)
+def a30_declaration_scan(spark, sf):
+    """What C# files declare: types and members with their types."""
+    return csharp.declarations(_csharp(spark, sf)).filter("kind <> 'using'").select("path", "kind", "fqn", "type")
+
+
+@plan(f"SELECT {_NS} || 'E' || p_partkey AS fqn, 2 AS parts, t.m AS member FROM part, (VALUES ('Count'), ('Email'), ('Load'), ('Skip')) t(m) UNION ALL SELECT {_NS} || 'E' || p_partkey, 2, 'Size' || p_size FROM part")
+def a31_declaration_index(spark, sf):
+    """Parts of a class become one declaration with the members of all."""
+    rows = csharp.declarations(_csharp(spark, sf)).filter(F.col("owner").startswith("E"))
+    at = rows.select(F.concat_ws(".", "namespace", "owner").alias("fqn"), F.col("name").alias("member"), F.concat_ws(":", "path", F.when(F.col("name").isin("Email", "Count", "Load"), 1).otherwise(2)).alias("part"))
+    merged = R.merge_parts(at, ["fqn"], "part", "member")
+    return merged.select("fqn", F.col("parts").cast("int").alias("parts"), F.explode("members").alias("member"))
+
+
+@plan(f"SELECT {_NS} || 'Ctx' || p_partkey AS context, p_type || 's' AS \"table\", {_NS} || 'E' || p_partkey AS entity, unnest(['Email', 'Size' || p_size]) AS field FROM part")
+def d31_context_datasets(spark, sf):
+    """Tables and fields of database contexts, from parts of their entities' classes."""
+    return datasets.context_datasets(csharp.declarations(_csharp(spark, sf))).select("context", "table", "entity", "field")
+
+
+@plan("SELECT * FROM (VALUES ('by_class', 8, 8), ('by_processor', 24, 24), ('clients', 6, 28), ('configuration', 1, 4), ('default_data_subjects', 1, 1), ('deployables', 10, 21), ('environment', 1, 4), ('evidence', 4, 4), ('never', 6, 6), ('orchestrators', 2, 7), ('stores', 4, 58)) t(section, entries, n)")
+def a15_topology_catalogue(spark, sf):
+    """How many entries and values the topology catalogue holds, by section."""
+    return catalogue.topology(spark).groupBy("section").agg(F.count_distinct("entry").alias("entries"), F.count(F.lit(1)).alias("n"))

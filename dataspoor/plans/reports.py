@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import exposure as X
+from ..operators import ordering as O
 from .registry import plan
 from .relations import dispositions, flows, gaps, names, processors, sinks, sources, table, with_
 from .scalars import below_sql
@@ -219,9 +220,7 @@ def f17_check(spark, sf):
 
 @plan(with_("SELECT f.id, k.path AS sink_path, k.line AS sink_line, s.path AS src_path, s.line AS src_line FROM flows f JOIN sinks k ON k.id = f.sink JOIN sources s ON s.id = f.source ORDER BY 2, 3, 4, 5, f.category, f.id", *_ALL))
 def h1_document_order(spark, sf):
-    snk = sinks(spark, sf).select(F.col("id").alias("sink"), F.col("path").alias("sink_path"), F.col("line").alias("sink_line"))
-    src = sources(spark, sf).select(F.col("id").alias("source"), F.col("path").alias("src_path"), F.col("line").alias("src_line"))
-    return flows(spark, sf).join(snk, "sink").join(src, "source").orderBy("sink_path", "sink_line", "src_path", "src_line", "category", "id").select("id", "sink_path", "sink_line", "src_path", "src_line")
+    return O.document_order(O.located(flows(spark, sf), sources(spark, sf), sinks(spark, sf))).select("id", "sink_path", "sink_line", "src_path", "src_line")
 
 
 @plan(with_("SELECT DISTINCT rule_id, path, line, id FROM exposed ORDER BY rule_id, path NULLS FIRST, line, id", *_ALL, **_CTES))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordering as O
 from ..operators import revisions as R
 from .registry import plan
 from .relations import dispositions, flows, sinks, table, with_
@@ -59,7 +60,7 @@ def i2_carry(spark, sf):
 def i3_dropped(spark, sf):
     """Decisions that no finding is left for."""
     left = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("pf-"), "l_orderkey").alias("finding"))
-    return dispositions(spark, sf).filter("status <> 'open'").select("finding").distinct().join(left, "finding", "left_anti")
+    return R.dropped(dispositions(spark, sf), left)
 
 
 _LEAF = "SELECT p_partkey, 'system/' || p_partkey || '/name' AS path, p_name AS base, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_type WHEN 2 THEN NULL ELSE p_name END AS ours, CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN NULL WHEN 3 THEN p_type ELSE p_name END AS theirs FROM part"
@@ -109,14 +110,14 @@ def i7_evidence_grew(spark, sf):
     """Accepted declarations go back to review when their evidence grows."""
     k, pick = F.col("event_id") % 3, lambda c: F.collect_set(F.when(c, F.col("event_type")))
     g = table(spark, sf, "events").groupBy("user_id").agg(pick(k > 1).alias("o"), pick(k < 2).alias("t"))
-    return g.select("user_id", (F.size(F.array_except("o", "t")) > 0).alias("review"))
+    return g.select("user_id", R.evidence_grew(F.col("o"), F.col("t")).alias("review"))
 
 
 @plan("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def i8_dangling_references(spark, sf):
     """References whose target is left."""
     live = table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, sf, "lineitem").join(live, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber")
+    return R.live_references(table(spark, sf, "lineitem"), live, "l_suppkey").select("l_orderkey", "l_linenumber")
 
 
 @plan("SELECT doc_id, lang = CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE lang END AND source IS NOT DISTINCT FROM CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS same FROM documents")
@@ -124,51 +125,46 @@ def i9_same_node(spark, sf):
     """Nodes compared field by field, notes left out."""
     other = F.when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("lang"))
     src = F.when(F.col("doc_id") % 5 != 0, F.col("source"))
-    return table(spark, sf, "documents").select("doc_id", ((F.col("lang") == other) & F.col("source").eqNullSafe(src)).alias("same"))
+    return table(spark, sf, "documents").select("doc_id", R.same_node([(F.col("lang"), other), (F.col("source"), src)]).alias("same"))
 
 
 @plan("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type || ':' || p_name WHEN 1 THEN p_name ELSE p_brand END AS identity FROM part")
 def i10_identity(spark, sf):
     """Identity of list elements: typed key, key, else name."""
     k = F.col("p_partkey") % 3
-    key, kind = F.when(k < 2, F.col("p_name")), F.when(k == 0, F.col("p_type"))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.concat(kind, F.lit(":"), key), key, "p_brand").alias("identity"))
+    return table(spark, sf, "part").select("p_partkey", R.identity(F.when(k == 0, F.col("p_type")), F.when(k < 2, F.col("p_name")), F.col("p_brand")).alias("identity"))
 
 
 @plan("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey % 5 = 0 THEN 'nation' END AS reason FROM supplier WHERE s_acctbal < 0 OR s_nationkey % 5 = 0")
 def i11_quarantine(spark, sf):
     """Incomplete declarations with what they lack."""
-    reason = F.when(F.col("s_acctbal") < 0, "balance").when(F.col("s_nationkey") % 5 == 0, "nation")
-    return table(spark, sf, "supplier").select("s_suppkey", reason.alias("reason")).filter("reason is not null")
+    return R.quarantined(table(spark, sf, "supplier"), [(F.col("s_acctbal") < 0, "balance"), (F.col("s_nationkey") % 5 == 0, "nation")], "s_suppkey")
 
 
 @plan("SELECT 'duplicate ' || p_name AS problem FROM part GROUP BY p_name HAVING count(*) > 1 UNION ALL SELECT 'dangling ' || l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5))")
 def i12_integrity(spark, sf):
     """Keys that come twice and references without a target."""
     p = table(spark, sf, "part")
-    twice = p.groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.concat(F.lit("duplicate "), "p_name").alias("problem"))
-    used = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return twice.union(used.join(p.filter("p_size > 5"), "p_partkey", "left_anti").select(F.concat(F.lit("dangling "), "p_partkey").alias("problem")))
+    return R.integrity(p, "p_name", table(spark, sf, "lineitem"), "l_partkey", p.filter("p_size > 5"), "p_partkey")
 
 
 @plan(with_("(SELECT id, category FROM flows EXCEPT ALL SELECT id, category FROM flows WHERE depth <= 3)", "flows"))
 def i13_rederived(spark, sf):
     """Stored rows that a second derivation doesn't give."""
-    f = flows(spark, sf)
-    return f.select("id", "category").exceptAll(f.filter("depth <= 3").select("id", "category"))
+    f = flows(spark, sf).select("id", "category", "depth")
+    return R.not_rederived(f.select("id", "category"), f.filter("depth <= 3").select("id", "category"))
 
 
 @plan("SELECT 'catalogue' AS origin, p_name AS entry FROM part WHERE p_size < 10 UNION ALL SELECT 'config', p_name FROM part WHERE p_size > 45")
 def i14_extensions(spark, sf):
-    p = table(spark, sf, "part")
-    entry = lambda cond, origin: p.filter(cond).select(F.lit(origin).alias("origin"), F.col("p_name").alias("entry"))
-    return entry("p_size < 10", "catalogue").unionByName(entry("p_size > 45", "config"))
+    p = table(spark, sf, "part").withColumn("entry", F.col("p_name"))
+    return R.with_extensions(p.filter("p_size < 10").select("entry"), p.filter("p_size > 45").select("entry"))
 
 
 @plan("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def i15_seed_dedup(spark, sf):
     """One seed for each variable and category, the first one."""
-    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return O.first_of(table(spark, sf, "events"), ["user_id", "event_type"], ["event_id"], ["event_id"])
 
 
 @plan(with_("SELECT sink, count(*) AS n FROM flows WHERE sink IN (SELECT id FROM sinks WHERE class = 'http') GROUP BY sink", "flows", "sinks"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.globs import glob_regex
 from . import values as V
+from .topology_values import TOPOLOGY
 
 #: Languages by the first part of an entry's id.
 LANGS = {"js": "javascript", "py": "python", "cs": "csharp"}
@@ -89,3 +90,15 @@ def frameworks(lang: str) -> list[tuple[str, list[str], bool]]:
 def names(table: tuple, lang: str) -> tuple[str, ...]:
     """Names that a (language, names) table of `values` holds for a language."""
     return tuple(n for of, text in table if of == lang for n in text.split())
+
+
+def topology(spark: SparkSession) -> DataFrame:
+    """(section, entry, lang, key, values array) of the topology catalogue, in order."""
+    rows = [(n, section, entry, lang, key, text.split(" | ")) for n, (section, entry, lang, key, text) in enumerate(TOPOLOGY)]
+    return spark.createDataFrame(rows, "ordinal int, section string, entry string, lang string, key string, values array<string>")
+
+
+def purposes() -> tuple[dict[str, str], dict[str, str]]:
+    """(data use by processor, data use by sink class) that declarations propose."""
+    of = lambda section: {entry: text for s, entry, _, key, text in TOPOLOGY if s == section and key == "data_use"}
+    return of("by_processor"), of("by_class")
