@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ PART_ROWS, MOST_PARTS = 4096, 1 << 16
 #: Fillings and branches that the search looks at before the incumbent stands; None: as many as there are.
 STEPS: int | None = 10_000
 
+#: Frames of the search that keep what they enumerate, about half a megabyte each.
+LIVE = 64
+
 Pattern = tuple[int, ...]
 Plan = list[tuple[Pattern, int]]
 
@@ -195,36 +199,52 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, steps: i
         """Waste of a plan with one sequence less."""
         return (bins - 1) * capacity - total
 
-    # Depth first without recursion: a frame holds what is left, the sequences and the waste so far, and its branches to come.
-    used: Plan = []
-    frames = [(dict(histogram), 0, 0, _branches(histogram, capacity, spare(), None))] if bins > bound else []
+    # Depth first on one table of counts. A frame holds its branches to come, how many were taken, the sequences and the
+    # waste so far, the waste left, and `after`; only the last LIVE frames keep their branches, others make them again.
+    counts, used = dict(histogram), []
+    frames: list[list] = [[None, 0, 0, 0, spare(), None]] if bins > bound else []
     taken = 0
     while frames and bins > bound and (steps is None or taken < steps):
-        counts, n_bins, waste, branches = frames[-1]
+        frame = frames[-1]
+        if frame[0] is None:
+            frame[0] = islice(_branches(counts, capacity, frame[4], frame[5]), frame[1], None)
+            taken += frame[1]
+        branch = next(frame[0], ((), 0))
+        frame[1] += 1
         taken += 1
-        branch = next(branches, ((), 0))
         if branch is None:
             continue
         pattern, n = branch
         if not n:
             frames.pop()
             if used:
-                used.pop()
+                _add(counts, *used.pop())
             continue
-        lost = waste + n * (capacity - sum(pattern))
+        lost = frame[3] + n * (capacity - sum(pattern))
         if lost > spare():
             continue
-        rest = _less(counts, pattern, n)
-        if not rest:
-            bins, best = n_bins + n, [*used, (pattern, n)]
-            continue
-        same = rest.get(pattern[0]) is not None
-        after = (capacity - sum(pattern), [-x for x in pattern[1:]]) if same and n < _times(counts, pattern) else None
+        _add(counts, pattern, -n)
         used.append((pattern, n))
-        frames.append((rest, n_bins + n, lost, _branches(rest, capacity, spare() - lost, after)))
+        if not counts:
+            bins, best = frame[2] + n, list(used)
+            _add(counts, *used.pop())
+            continue
+        after = (capacity - sum(pattern), [-x for x in pattern[1:]]) if all(counts.get(x, 0) >= pattern.count(x) for x in set(pattern)) else None
+        frames.append([None, 0, frame[2] + n, lost, spare() - lost, after])
+        if len(frames) > LIVE:
+            frames[-LIVE - 1][0] = None
     return best
 
 
+def _add(counts: dict[int, int], pattern: Pattern, n: int) -> None:
+    for x in set(pattern):
+        left = counts.get(x, 0) + n * pattern.count(x)
+        if left:
+            counts[x] = left
+        else:
+            del counts[x]
+
+
 def places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, lo, hi, first sequence, copies, offset): ranks lo..hi-1 of a length, copies in each sequence."""
     rank: dict[int, int] = {}
