@@ -116,7 +116,8 @@ def scan(ir: DataFrame, lang: str, rules: DataFrame, methods: dict[str, tuple[st
     called = by_rule.filter("decision = 'source'").select("repo", "path", "fn", F.col("dst").alias("var"), F.coalesce(F.try_element_at(of_source, F.col("entry")), F.lit(N.UNKNOWN)).alias("category"), F.lit(False).alias("needs_review"), F.lit("request").alias("kind"), F.coalesce(F.col("field"), F.col("callee")).alias("name"), "text", "line", "col")
     carries = spark.createDataFrame(catalogue.parameters(lang), "entry string, which string, how string, name string, category string")
     handlers = H.find_handlers(ir, catalogue.handler_ways(lang)).select("repo", "path", "fn", "entry")
-    carried = H.select_parameters(handlers, H.parameters_of(ir), carries, ir.filter("kind = 'class'").select("repo", F.col("field").alias("type")).distinct())
+    carried = H.select_parameters(G.cut(handlers), H.parameters_of(ir), carries, ir.filter("kind = 'class'").select("repo", F.col("field").alias("type")).distinct())
+    carried, read_seeds = G.cut(carried), G.cut(read_seeds)
     brought = H.handler_seeds(ir, carried).select("repo", "path", "fn", "var", "category", F.lit(False).alias("needs_review"), F.lit("request").alias("kind"), "name", "text", "line", "col").distinct()
     # A value that its own name classifies is that, not unknown request input.
     known_by_name = read_seeds.filter(F.col("category") != N.UNKNOWN).select("var").distinct()
