@@ -4,8 +4,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from dataspoor.llm import components as cc
 from dataspoor.llm import near_dedup as nd
+from dataspoor.llm.common import cut
 
 
 def sets_of(docs):
@@ -91,3 +94,46 @@ def test_signatures_estimate_similarity():
     assert abs((x == y).mean() - 800 / 1200) < 0.15
     assert (nd.signatures([a], 120)[0] == x).all()
     assert len({int(v >> np.uint64(56)) for v in nd.signatures([a[:2]], 120)[0]}) > 5
+
+
+def edges_and_roots(seed=3):
+    r = random.Random(seed)
+    order = r.sample(range(-500, 500), 700)
+    pairs = list(zip(order[:300], order[1:301])) + [(order[400], x) for x in order[401:500]]
+    pairs += [(r.choice(order[500:]), r.choice(order[500:])) for _ in range(150)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    return pairs, {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("small", [cc.SMALL, 0])
+def test_components_of_chains_stars_and_chance(spark, monkeypatch, small):
+    monkeypatch.setattr(cc, "SMALL", small)
+    pairs, want = edges_and_roots()
+    got = cc.components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()
+    assert len(got) == len(want)
+    assert {x.node: x.root for x in got} == want
+
+
+def test_components_of_no_edges(spark):
+    assert cc.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def test_long_chains_leave_the_driver_few_plans(spark):
+    edges = cut(spark.range(2000).selectExpr("id as a", "id + 1 as b"))
+    plans = spark._jsparkSession.sharedState().statusStore().executionsCount
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = plans()
+    found = cc.components(edges)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert plans() - before <= 3
+    assert found.filter("root <> 0").isEmpty() and found.count() == 2001
