@@ -8,8 +8,9 @@ always gives the same ids, and every occurrence of a word is cut by itself.
 Pieces hold no space but at their start, so words are handled one by one.
 
 Hashes are drawn as gaps, the numbers of candidates taken between two skipped
-ones. A word's pieces follow from its gaps alone, so pieces are kept for short
-lists of gaps, whatever document they come from; the rest is merged anew.
+ones; those of a word are hashes of its place and of nothing that other words
+took. The pieces of a word that skips none are kept. All other words of some
+texts are cut at once, a candidate of each at a time, in arrays of numbers.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ from pyspark.sql import functions as F
 
 from .coding import small_batches
 
-#: Words and lists of gaps kept per worker, some 300 bytes each, in two generations of half as many.
+#: Words kept per worker, some 300 bytes each, in two generations of half as many.
 ROOM = 1_600_000
-#: Pieces are kept for so many gaps at most, of words of so many characters at most.
-KEPT_GAPS, KEPT_CHARS = 2, 48
+#: Longer words are neither kept nor cut in arrays.
+KEPT_CHARS = 48
+#: So many words are looked up together, of one text or several, and so many are cut at once.
+TOGETHER, BLOCK = 16_384, 4096
+#: A gap beyond any word's candidates.
+_NEVER = 1 << 40
 DROPOUT = 0.1
 _MARK = "▁"
 _RUNS = re.compile(f"\\n|{_MARK}*[^{_MARK}\\n]+|{_MARK}+")
@@ -56,25 +61,78 @@ class PieceCoder:
         # A hash below the k-th number from the end takes more than k candidates before it skips one.
         longest = 0 if not 0 < dropout < 1 else int(-64 * math.log(2) / math.log1p(-dropout)) + 1
         self.steps = np.array([int((1 - dropout) ** k * (1 << 64)) for k in range(longest, 0, -1)], np.uint64)
-        # By word: [candidates after the last skipped one, ids, the same by a further gap].
+        # By word: how many candidates come up if none is skipped, and its ids.
         self.known: dict = {}
         self.old: dict = {}
         self.held = 0
+        self.tables()
+
+    def tables(self) -> None:
+        """Symbols are ranks, the last one stands for none: those of characters, the ids of symbols, and pairs of symbols with their merged one by hash."""
+        import numpy as np
+
+        rank, none = self.rank, len(self.rank)
+        self.symbol = np.full(0x110000, none, np.int32)
+        for x, r in rank.items():
+            if len(x) == 1:
+                self.symbol[ord(x)] = r
+        self.symbol_ids = np.array([*map(self.ids_of, rank), 0], np.uint32)
+        pairs = [(rank[x[:k]] * (none + 1) + rank[x[k:]], r) for x, r in rank.items() for k in range(1, len(x)) if x[:k] in rank and x[k:] in rank]
+        keys, merged = np.array(pairs, np.int64).reshape(-1, 2).T
+        bits = max(4 * len(keys), 2).bit_length()
+        self.shift, self.slots, self.merged = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.full(1 << bits, none, np.int32)
+        at = self.slot(keys)
+        while len(keys):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = keys[free]
+            own = self.slots[at] == keys
+            self.merged[at[own]] = merged[own]
+            keys, merged, at = keys[~own], merged[~own], at[~own] + 1 & len(self.slots) - 1
+
+    def slot(self, keys):
+        import numpy as np
+
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def pair(self, a, b):
+        """The symbol that two symbols merge to, or none."""
+        import numpy as np
+
+        keys = a.astype(np.int64) * (len(self.rank) + 1) + b
+        at = self.slot(keys)
+        found, out = self.slots[at], self.merged[at]
+        if len(again := np.flatnonzero(found != keys)):
+            out[again] = len(self.rank)
+            while len(again := again[found[again] >= 0]):
+                at[again] = at[again] + 1 & len(self.slots) - 1
+                found[again] = self.slots[at[again]]
+                own = found[again] == keys[again]
+                out[again[own]] = self.merged[at[again[own]]]
+                again = again[~own]
+        return out
 
     def key(self, doc_id) -> int:
         return int.from_bytes(blake2b(f"{self.seed}/{doc_id}".encode(), digest_size=8).digest(), "little")
 
-    def gaps(self, key: int, first: int, n: int) -> list[int]:
-        """Gaps first..first+n-1 of a key: candidates that are taken before one is skipped."""
+    def draw(self, keys, at):
+        """Gaps of keys by their numbers: candidates that are taken before one is skipped."""
         import numpy as np
 
-        h = np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+        if not self.dropout:
+            return np.full(len(at), _NEVER)
+        h = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return (len(self.steps) - np.searchsorted(self.steps, h ^ h >> np.uint64(31), "right")).tolist()
+        return len(self.steps) - np.searchsorted(self.steps, h ^ h >> np.uint64(31), "right")
+
+    def gaps(self, key: int, first: int, n: int, step: int = 1) -> list[int]:
+        """Gaps first, first + step.. of a key, n of them."""
+        import numpy as np
+
+        return self.draw(np.uint64(key), first + step * np.arange(n)).tolist()
 
     def segment(self, unit: str, gaps) -> tuple[list[str], int, int]:
-        """Pieces of a word with endless gaps (-1: no more skips), how many candidates were skipped, and how many came up after those."""
+        """Pieces of a word with endless gaps, how many candidates were skipped, and how many came up after those."""
         n, get, gap, seen, skipped = len(unit), self.rank.get, next(gaps), 0, 0
         end, prev, agenda = list(range(1, n + 1)), list(range(-1, n)), []
         for i in range(n - 1):
@@ -102,25 +160,83 @@ class PieceCoder:
             i = end[i]
         return out, skipped, seen
 
-    def fresh(self, unit: str, gaps: tuple[int, ...], more, kept: dict | None, at) -> bytes:
-        """Ids of a word with these gaps and then `more`; put into kept if all gaps but the last skip one."""
-        found, skipped, n = self.segment(unit, chain(gaps, more))
+    def alone(self, unit: str, gaps) -> tuple[bytes, int, int]:
+        """What segment gives, as ids; a character that is no piece stands as its bytes."""
+        found, skipped, seen = self.segment(unit, gaps)
         got = list(map(self.ids_of, found))
-        if None in got:  # a character that is no piece stands as its bytes
+        if None in got:
             got = [k for p, x in zip(found, got) for k in ([self.byte[b] for b in p.encode()] if x is None else [x])]
-        out = array("I", got).tobytes()
-        if kept is not None and skipped == len(gaps) - 1 and len(unit) <= KEPT_CHARS:
-            self.hold(kept, at, [n, out, None])
-        return out
+        return array("I", got).tobytes(), skipped, seen
+
+    def cut(self, units: list[str], keys, places, sizes) -> list[tuple[bytes, int, int] | None]:
+        """What alone gives for each word with its own gaps: those of its key numbered place, place + size, place + 2 size..
+
+        None for words with characters that are no pieces. A column is a word, a row is a place in it;
+        the least of rank and place in a column is the candidate that an agenda would give.
+        """
+        import numpy as np
 
-    def hold(self, kept: dict, at, entry: list) -> None:
-        """Put an entry into known or below it; half of ROOM makes known the older generation."""
+        none, n = len(self.rank), len(units)
+        lens = np.fromiter(map(len, units), np.int64, n)
+        high, word = int(lens.max()), np.repeat(np.arange(n), lens)
+        row = np.arange(len(word)) - np.repeat(lens.cumsum() - lens, lens)
+        chars = self.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        # Row high stands for what is before the first place and after the last one.
+        syms = np.full((high + 1, n), none, np.int32)
+        syms[row, word] = chars
+        odd = np.zeros(n, bool)
+        odd[word[chars == none]] = True
+        after, before = (np.repeat(np.arange(k, k + high + 1, dtype=np.int32)[:, None], n, 1) for k in (1, -1))
+        before[0], after[lens - 1, np.arange(n)] = high, high
+        bits = high.bit_length()
+        end = none << bits
+        best = np.full((high + 1, n), end, np.int64)
+        if high > 1:
+            found = self.pair(syms[:-2].ravel(), syms[1:-1].ravel()).reshape(high - 1, n)
+            best[: high - 1] = np.where(found < none, (found.astype(np.int64) << bits) + np.arange(high - 1)[:, None], end)
+        gap, seen, skipped = self.draw(keys, places), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        live, out = np.arange(n), syms.copy()
+        while len(live):
+            least = best.min(0)
+            if 4 * np.count_nonzero(going := least < end) < 3 * len(going):
+                out[:, live[~going]] = syms[:, ~going]
+                live, least = live[going], least[going]
+                syms, best, before, after = (x[:, going] for x in (syms, best, before, after))
+                continue
+            at = np.flatnonzero(going)
+            i = least[at] & (1 << bits) - 1
+            w = live[at]
+            skip = seen[w] == gap[w]
+            if skip.any():
+                best[i[skip], at[skip]] = end
+                v = w[skip]
+                skipped[v] += 1
+                seen[v] = 0
+                gap[v] = self.draw(keys[v], places[v] + skipped[v] * sizes[v])
+                at, i, w = at[~skip], i[~skip], w[~skip]
+            seen[w] += 1
+            new = (least[at] >> bits).astype(np.int32)
+            m = after[i, at]
+            e, p = after[m, at], before[i, at]
+            syms[i, at], syms[m, at] = new, none
+            after[i, at], before[e, at] = e, i
+            best[m, at] = end
+            found = self.pair(np.concatenate([new, syms[p, at]]), np.concatenate([syms[e, at], new])).astype(np.int64)
+            found = np.where(found < none, (found << bits) + np.concatenate([i, p]), end)
+            best[i, at], best[p, at] = found[: len(at)], found[len(at) :]
+        out = out.T
+        stay = out < none
+        ids, ends = self.symbol_ids[out[stay]].tobytes(), (4 * stay.sum(1).cumsum()).tolist()
+        return [None if o else (ids[a:b], k, m) for o, a, b, k, m in zip(odd.tolist(), [0, *ends], ends, skipped.tolist(), seen.tolist())]
+
+    def hold(self, unit: str, entry: tuple[int, bytes]) -> None:
+        """Put a word into known; half of ROOM makes known the older generation."""
         if self.held >= ROOM // 2:
             self.old.clear()
             self.old.update(self.known)
             self.known.clear()
             self.held = 0
-        kept[at] = entry
+        self.known[unit] = entry
         self.held += 1
 
     def units(self, text: str) -> list:
@@ -138,38 +254,64 @@ class PieceCoder:
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """Ids as native 32-bit unsigned integers; an empty text has none."""
-        units = self.units(text)
-        n = len(units)
-        known, old, fresh, out = self.known, self.old, self.fresh, []
-        first = self.gaps(key, 0, n) if self.dropout else repeat(-1, n)
-        more = chain.from_iterable(self.gaps(key, k, n) for k in count(n, n)) if self.dropout else repeat(-1)
-        for unit, gap in zip(units, first):
-            if unit is None:
-                out.append(self.mark)
+        return self.encode_all([text], [key])[0]
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Ids of each text by its key; some texts at a time."""
+        out: list[bytes] = []
+        units: list = []
+        sizes: list[int] = []
+        for text in texts:
+            more = self.units(text)
+            units += more
+            sizes.append(len(more))
+            if len(units) >= TOGETHER:
+                out += self._encode(units, sizes, keys[len(out) :])
+                units, sizes = [], []
+        return out + self._encode(units, sizes, keys[len(out) :])
+
+    def _encode(self, units: list, sizes: list[int], keys: list[int]) -> list[bytes]:
+        import numpy as np
+
+        n, keys, out = np.array(sizes, np.int64), np.array(keys[: len(sizes)], np.uint64), []
+        ends = n.cumsum()
+        for a in range(0, len(units), TOGETHER):
+            at = np.arange(a, min(a + TOGETHER, len(units)))
+            text = np.searchsorted(ends, at, "right")
+            out += self._words(units[a : a + TOGETHER], keys[text], at - (ends - n)[text], n[text])
+        return [b"".join(out[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _words(self, units: list, keys, places, n) -> list[bytes]:
+        """Ids of words by their text's key, their place in it and its number of words."""
+        first, old, todo = self.draw(keys, places).tolist(), self.old, []
+        met = list(map(self.known.get, units))
+        out = [x[1] if x is not None and gap >= x[0] else None for x, gap in zip(met, first)]
+        for k in [k for k, x in enumerate(out) if x is None]:
+            unit = units[k]
+            if not unit:
+                out[k] = self.mark if unit is None else b""
                 continue
-            if (x := known.get(unit)) is None and (x := old.get(unit)) is not None:
-                self.hold(known, unit, x)
-            if x is None:
-                out.append(fresh(unit, (gap,), more, known, unit))
-            elif not -1 < gap < x[0]:
-                out.append(x[1])
-            else:
-                gaps = (gap,)
-                while True:
-                    gaps = (*gaps, next(more))
-                    if len(gaps) > KEPT_GAPS + 1 or len(unit) > KEPT_CHARS:
-                        out.append(fresh(unit, gaps, more, None, gap))
-                        break
-                    if x[2] is None:
-                        x[2] = {}
-                    if (y := x[2].get(gap)) is None:
-                        out.append(fresh(unit, gaps, more, x[2], gap))
-                        break
-                    x, gap = y, gaps[-1]
-                    if gap >= x[0]:
-                        out.append(x[1])
-                        break
-        return b"".join(out)
+            if met[k] is None and (x := self.known.get(unit) or old.get(unit)) is not None:
+                if unit not in self.known:
+                    self.hold(unit, x)
+                if first[k] >= x[0]:
+                    out[k] = x[1]
+                    continue
+            todo.append(k)
+        todo.sort(key=lambda k: len(units[k]))
+        short = sum(len(units[k]) <= KEPT_CHARS for k in todo)
+        for a in range(0, len(todo), BLOCK):
+            some, few = todo[a : a + BLOCK], todo[a : min(a + BLOCK, short)]
+            cut = self.cut([units[k] for k in few], keys[few], places[few], n[few]) if few else []
+            for k, got in zip(some, chain(cut, repeat(None))):
+                unit = units[k]
+                if got is None:
+                    key, place, step = int(keys[k]), int(places[k]), int(n[k])
+                    got = self.alone(unit, chain.from_iterable(self.gaps(key, place + j * step, 64, step) for j in count(0, 64)))
+                out[k], skipped, seen = got
+                if not skipped and len(unit) <= KEPT_CHARS and unit not in self.known:
+                    self.hold(unit, (seen, out[k]))
+        return out
 
     def decode(self, ids) -> str:
         """The text again: joined pieces less the space put before the first."""
@@ -191,7 +333,7 @@ def _encoder(model: str, dropout: float, seed: int, digest: bool):
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             keys = [c.key(d) for d in docs]
-            ids = [c.encode(t, k) for t, k in zip(texts, keys)]
+            ids = c.encode_all(texts, keys)
             cols = [b.column("doc_id"), pa.array([k >> 33 for k in keys], pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             if digest:
                 back = [c.decode(memoryview(x).cast("I")) for x in ids]

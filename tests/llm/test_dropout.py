@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 
 from dataspoor.llm import pieces
@@ -70,3 +71,43 @@ def test_tables_stay_small_whatever_the_words(monkeypatch):
     text = " ".join(["y" * 5000, *(f"word{k}" for k in range(3000))])
     assert c.decode(memoryview(c.encode(text, 3)).cast("I")) == text
     assert c.held <= 26 and len(c.known) + len(c.old) <= 52 and not any(len(k) > pieces.KEPT_CHARS for k in c.known)
+
+
+def test_words_cut_at_once_equal_words_cut_one_by_one():
+    r = random.Random(3)
+    words = ["▁" + w for w in ["", "the", "internationalization", "mississippi", "a" * 40, "ab" * 20, "日本語ﬁx", "z\U0001f9ffß"]]
+    words += ["▁" + "".join(r.choice("etaoinshräß.") for _ in range(r.randrange(1, 40))) for _ in range(600)]
+    n, odd = len(words), 0
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        c = pieces.PieceCoder(MODEL, dropout, 5)
+        keys, sizes = np.array([r.getrandbits(64) for _ in words], np.uint64), np.arange(n) + n
+        for k, got in enumerate(c.cut(words, keys, np.arange(n), sizes)):
+            odd += got is None
+            assert got is None or got == c.alone(words[k], iter(c.gaps(int(keys[k]), k, 1000, n + k)))
+    assert odd == 4
+
+
+def test_words_of_a_text_are_not_cut_one_by_one(monkeypatch):
+    c, alone = pieces.PieceCoder(MODEL, 0.1), []
+    segment = c.segment
+    monkeypatch.setattr(c, "segment", lambda unit, gaps: alone.append(unit) or segment(unit, gaps))
+    text = " ".join(f"{a}{b}" for a in ("inter", "national", "merge", "cut") for b in ("ization", "ally", "able", "s")) * 50
+    assert c.decode(memoryview(c.encode(text, 3)).cast("I")) == text and not alone
+
+
+def test_a_word_is_cut_by_its_place_whatever_stands_before():
+    """The mark ▁ before the last word has three ids of its own, so they tell where that word begins."""
+    c, seen = pieces.PieceCoder(MODEL, 0.5), set()
+    for k in range(100):
+        ends = {c.encode(f"{x}▁internationalization", k).rpartition(c.mark)[2] for x in ("a", "antidisestablishmentarianism")}
+        assert len(ends) == 1
+        seen |= ends
+    assert len(seen) > 50
+
+
+def test_texts_together_equal_texts_alone(monkeypatch):
+    monkeypatch.setattr(pieces, "TOGETHER", 30)
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    texts = ["", "\n", "\n\n\n" * 20, "a\n", "▁", " ▁ x", "a  b", "x" * 100, "\U0001f9ff y", *(f"hello internationalization {k} word.word\n日本" * (k % 9) for k in range(60))]
+    together, alone = pieces.PieceCoder(MODEL, 0.3), pieces.PieceCoder(MODEL, 0.3)
+    assert together.encode_all(texts, list(range(len(texts)))) == [alone.encode(t, k) for k, t in enumerate(texts)]
