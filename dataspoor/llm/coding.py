@@ -16,10 +16,14 @@ A word of Latin-1 characters goes to the library's model, split as the
 tokenizer's pattern says; any other word goes through its whole pipeline. A full
 stop or comma that ends a word is a piece of its own, and so it is looked up by
 itself, in texts where none follows another sign.
-Ids of words and of their pieces are kept in two generations per Python worker:
+Texts are taken in slices of SLICE characters. Arrow splits a slice, numbers its
+distinct words, finds those that the worker knows and lays their ids out; only new
+words meet Python. A worker's words and their ids are kept in arrays: when these
+hold HELD bytes, half of them stay, the words that most slices have met lately and
+then the newest. Ids of words' pieces are kept in two generations:
 when the younger holds half of ROOM bytes it becomes the older, and what is met
-again moves back. One vocabulary is kept at a time, so ROOM bounds a worker's
-tables whatever the corpus; results never depend on it.
+again moves back. One vocabulary is kept at a time, so HELD and ROOM bound a
+worker's tables whatever the corpus; results never depend on them.
 """
 
 from __future__ import annotations
@@ -27,11 +31,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
-#: Bytes that the tables of a worker may take, keys, values and slots.
-ROOM = 128 << 20
+#: Bytes that the pieces of a worker may take, keys, values and slots.
+ROOM = 32 << 20
+#: Bytes of the arrays of a worker's words and their ids.
+HELD = 16 << 20
 #: Bytes of an entry beside its characters and ids: two object heads and a slot with its share of free ones. Longer words than LONGEST aren't kept.
 ENTRY, LONGEST = 190, 48
+#: Characters of the texts that are looked up together; a longer text is a slice of its own.
+SLICE = 4 << 20
 #: In `lead` mode a word without this mark has a space before it.
 _MARK = "\x01"
 _BREAK, _SPACES = f" \n {_MARK}", (" ", "\n")
@@ -68,6 +77,50 @@ class Kept(dict):
         return out
 
 
+class Words:
+    """Distinct words and their ids in arrays of up to `room` bytes."""
+
+    def __init__(self, room: int | None = None):
+        import numpy as np
+        import pyarrow as pa
+
+        self.room = HELD if room is None else room
+        self.words, self.coded, self.met = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int32)
+
+    def ids(self, words, make):
+        """What make(word) gives for each of `words`, an array without repeats."""
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import compute
+
+        at = compute.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().copy()
+        self.met[at[at >= 0]] += 1
+        at[at < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        made = pa.array(list(map(make, new.to_numpy(zero_copy_only=False).tolist())), pa.large_binary())
+        n = len(self.words)
+        self.words, self.coded = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.coded, made])
+        out = self.coded.take(pa.array(at))
+        short = compute.less_equal(compute.utf8_length(new), LONGEST).to_numpy(zero_copy_only=False)
+        if not short.all():
+            kept = pa.array(np.concatenate([np.arange(n), n + np.flatnonzero(short)]))
+            self.words, self.coded = self.words.take(kept), self.coded.take(kept)
+        self.met = np.concatenate([self.met, np.zeros(len(self.words) - len(self.met), np.int32)])
+        if self.words.nbytes + self.coded.nbytes > self.room:
+            self._forget()
+        return out
+
+    def _forget(self) -> None:
+        import numpy as np
+        import pyarrow as pa
+
+        sizes = 16 + sum(np.diff(np.frombuffer(x.buffers()[1], np.int64, len(x) + 1)) for x in (self.words, self.coded))
+        order = np.lexsort((-np.arange(len(sizes)), -self.met))
+        kept = np.sort(order[np.cumsum(sizes[order]) <= self.room // 2])
+        self.words, self.coded, self.met = self.words.take(pa.array(kept)), self.coded.take(pa.array(kept)), self.met[kept] // 2
+
+
 def _byte_chars() -> dict[int, str]:
     """The printable stand-ins of byte-level vocabularies."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -83,12 +136,15 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = split == "lead"
-        self.known = Kept(self._leading() if self.lead else self._blank())
-        self.get = self.known.__getitem__
+        self.make = self._leading() if self.lead else self._blank()
+        self.pieces = Kept(self.make)
+        self.get = self.pieces.__getitem__
+        self.words = Words()
 
     def _model(self):
-        """Ids of one piece of Latin-1 characters, as the splitter leaves it."""
+        """Ids of one piece of Latin-1 characters, as the splitter leaves it; ids of a word of ASCII letters after a space."""
         tokenize, stand_in = self.tokenizer.model.tokenize, _byte_chars()
+        space = stand_in[32]
 
         def model(piece: str) -> bytes:
             if not piece.isascii():
@@ -97,20 +153,25 @@ class Coder:
                 piece = piece.translate(stand_in)
             return array("I", [t.id for t in tokenize(piece)]).tobytes()
 
-        return model
+        def spaced(word: str) -> bytes:
+            return array("I", [t.id for t in tokenize(space + word)]).tobytes()
+
+        return model, spaced
 
     def _leading(self):
         """Ids of a word: one without _MARK stands for itself and the space before it."""
-        model, library = self._model(), self.library
+        (model, spaced), library = self._model(), self.library
 
         def piece(found: str) -> bytes:
             return self.get(found if found == "\n" else found[1:] if found[0] == " " else _MARK + found)
 
         def make(unit: str) -> bytes:
+            if unit.isascii() and unit.isalpha():
+                return spaced(unit)
             if unit in ("", _MARK):
                 return b"" if unit else model(" ")
             word = unit if unit == "\n" else unit[1:] if unit[0] == _MARK else " " + unit
-            if unit.isascii() and (unit.isalpha() or unit[0] == _MARK and word.isalpha()):
+            if unit.isascii() and unit[0] == _MARK and word.isalpha():
                 return model(word)
             if not _PLAIN(word):
                 return library([word])[0]
@@ -121,7 +182,7 @@ class Coder:
 
     def _blank(self):
         """Ids of a word between spaces."""
-        model, library = self._model(), self.library
+        (model, _), library = self._model(), self.library
 
         def make(unit: str) -> bytes:
             if unit.isascii() and unit.isalpha():
@@ -140,20 +201,58 @@ class Coder:
         """Whether a text's white space is anything but single spaces and line feeds between words."""
         return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in _SPACES or t[-1:] in _SPACES or not t.replace("\n", "").isprintable()
 
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose words stand between single spaces; every distinct word is looked up once."""
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import compute
+
+        lists = compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        ids = self.words.ids(coded.dictionary, self.make).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[s:e]) for s, e in zip(ends[:-1], ends[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as native 32-bit unsigned integers."""
-        get, added, out = self.get, self.added, []
-        for t in texts:
+        added, out, at, ready, held = self.added, [b""] * len(texts), [], [], 0
+        for k, t in enumerate(texts):
             if any(x in t for x in added) or self.lead and self._odd(t):
-                out += self.library([t])
+                (out[k],) = self.library([t])
                 continue
+            if held and held + len(t) > SLICE:
+                for j, ids in zip(at, self._looked_up(ready)):
+                    out[j] = ids
+                at, ready, held = [], [], 0
             if not _JOINED(t):
                 for end, marked, plain in _ENDS:
                     t = t.replace(end, marked if self.lead else plain)
-            t = (_MARK + t).replace("\n", _BREAK) if self.lead else t.replace("\n", " ")
-            out.append(b"".join(map(get, t.split(" "))))
+            at.append(k)
+            ready.append((_MARK + t).replace("\n", _BREAK) if self.lead else t.replace("\n", " "))
+            held += len(t)
+        if ready:
+            for j, ids in zip(at, self._looked_up(ready)):
+                out[j] = ids
         return out
 
+    def encode_batches(self, batches):
+        """(batch, ids of its texts) of each batch with a column `text` (null: empty), read a slice at a time."""
+        got, held = [], 0
+        for b in batches:
+            got.append(b)
+            held += b.column("text").nbytes
+            if held >= SLICE:
+                yield from self._coded(got)
+                got, held = [], 0
+        yield from self._coded(got)
+
+    def _coded(self, got):
+        ids = iter(self.encode([t or "" for b in got for t in b.column("text").to_pylist()]))
+        for b in got:
+            yield b, list(islice(ids, b.num_rows))
+
 
 def coder(path: str, split: str) -> Coder:
     """One per worker process, of the vocabulary asked for last."""

@@ -267,9 +267,9 @@ def _cutter(path: str, split: str, end_id: int, capacity: int, with_ids: bool):
         import pyarrow as pa
 
         c, end, step = coder(path, split), np.uint32(end_id).tobytes(), 4 * capacity
-        for b in batches:
+        for b, coded in c.encode_batches(batches):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, x in enumerate(c.encode([t or "" for t in b.column("text").to_pylist()])):
+            for k, x in enumerate(coded):
                 x += end
                 for p, s in enumerate(range(0, len(x), step)):
                     y = x[s : s + step]

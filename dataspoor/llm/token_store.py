@@ -39,8 +39,8 @@ def _encoder(path: str, split: str, end_id: int, id_type):
 
         c, at, end = coder(path, split), 0, np.uint32(end_id).tobytes()
         part = TaskContext.get().partitionId()
-        for b in batches:
-            ids = [x + end for x in c.encode([t or "" for t in b.column("text").to_pylist()])]
+        for b, ids in c.encode_batches(batches):
+            ids = [x + end for x in ids]
             n = [len(x) // 4 for x in ids]
             starts = list(accumulate(n, initial=at))
             at = starts.pop()

@@ -7,11 +7,12 @@ from collections import Counter
 from itertools import combinations
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dataspoor.llm import packing, pieces, token_store
+from dataspoor.llm import coding, packing, pieces, token_store
 from dataspoor.llm.coding import coder
 from dataspoor.llm.common import new_path
 
@@ -46,6 +47,33 @@ def test_tables_stay_within_their_bytes():
     assert made.count("often") == 1
 
 
+def test_words_are_made_once_and_stay_within_their_bytes(monkeypatch):
+    made, words = [], coding.Words(room=20_000)
+    for k in range(300):
+        units = [*(f"word{k * 10 + j}" for j in range(10)), "often", "x" * 5000, ""]
+        got = words.ids(pa.array(units, pa.large_string()), lambda w: made.append(w) or w.encode() * 4)
+        assert got.to_pylist() == [w.encode() * 4 for w in units] and words.words.nbytes + words.coded.nbytes <= 20_000
+    assert made.count("often") == 1 and made.count("x" * 5000) == 300
+    monkeypatch.setattr(coding, "HELD", 500)
+    for name, split in (("byte_bpe_50k.json", "lead"), ("word_bpe_49k.json", "blank")):
+        for room in (1, 100, 1 << 20):
+            monkeypatch.setattr(coding, "SLICE", room)
+            own, theirs = coding.Coder(public_tokenizers.path(name), split), library(name)
+            assert [list(memoryview(x).cast("I")) for x in own.encode(texts())] == [theirs(t) for t in texts()]
+            batches = [pa.record_batch({"text": pa.array(x, pa.string())}) for x in (texts()[:40], [None, "a b"], [], texts()[40:])]
+            both = list(own.encode_batches(batches))
+            assert [b.num_rows for b, _ in both] == [len(x) for _, x in both] and sum((x for _, x in both), []) == own.encode([t or "" for b in batches for t in b["text"].to_pylist()])
+
+
+def test_distinct_words_of_a_slice_are_looked_up_once(monkeypatch):
+    own, asked = coding.Coder(public_tokenizers.path("byte_bpe_50k.json"), "lead"), []
+    make = own.make
+    monkeypatch.setattr(coding, "LONGEST", 0)  # nothing is kept from slice to slice
+    own.make = lambda w: asked.append(w) or make(w)
+    own.encode(["of course they say"] * 500)
+    assert len(asked) == len(set(asked))
+
+
 def crc(ids):
     return zlib.crc32(array("I", ids).tobytes())
 
