@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..sources import catalogue, files, manifests, python
 from .engine import _PTS, _RING_DEPTH, _closed, _points, _ring, _tree
 from .registry import plan
-from .relations import flows, sinks, sources, table, with_
+from .relations import dealt, flows, sinks, sources, table, with_
 from .reports import _ALL, _CTES, _findings
 from .topology import _ATTR, _attributed
 
@@ -24,7 +24,7 @@ def a2_directory_walk(spark, sf):
 
 
 def _made(spark, sf, ending, text):
-    return table(spark, sf, "part").select(_cat("p", F.col("p_partkey"), ending).alias("path"), text.alias("text"))
+    return dealt(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size").select(_cat("p", F.col("p_partkey"), ending).alias("path"), text.alias("text"))
 
 
 def _manifest(spark, sf, ending, text):
@@ -62,14 +62,14 @@ def a27_compose_services(spark, sf):
 def a34_parse_errors(spark, sf):
     """Files that don't parse are gaps with their line."""
     text = F.when(F.col("p_size") > 25, "def (:").otherwise("x = 1")
-    return python.lower_files(_made(spark, sf, ".py", text)).filter("kind = 'parse_error'").select("path", "kind", "line")
+    return python.lower_files(_made(spark, sf, ".py", text), ("parse_error",)).filter("kind = 'parse_error'").select("path", "kind", "line")
 
 
 @plan("SELECT 'p' || p_partkey || '.py' AS path, 'C' || p_partkey AS collection, field, category FROM part, LATERAL (VALUES ('email', 'user.contact.email'), ('size', NULL)) t(field, category)")
 def d32_class_datasets(spark, sf):
     """Classified fields of mapped classes."""
     text = _cat("from django.db import models\nclass C", F.col("p_partkey"), "(models.Model):\n    email = models.CharField()\n    size = models.IntegerField()\n    other = ", F.col("p_size"), "\n")
-    return datasets.datasets(datasets.class_fields(python.lower_files(_made(spark, sf, ".py", text)))).select("path", "collection", "field", "category")
+    return datasets.datasets(G.store(datasets.class_fields(python.lower_files(_made(spark, sf, ".py", text), ("member",))))).select("path", "collection", "field", "category")
 
 
 @plan("SELECT 'p' || p_partkey || '.prisma' AS path, lower(p_type) AS collection, field, category FROM part, LATERAL (VALUES ('email', 'user.contact.email'), ('id', 'user.unique_id.pseudonymous'), ('n' || p_size, NULL)) t(field, category)")
