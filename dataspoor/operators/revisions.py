@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import spread
+
 
 def diff(base: DataFrame, head: DataFrame) -> DataFrame:
     """(change, id, rule_id, sink) of findings that a revision introduces, changes or removes.
@@ -129,7 +131,10 @@ def integrity(keys: DataFrame, key: str, references: DataFrame, reference: str,
 
 def not_rederived(stored: DataFrame, derived: DataFrame) -> DataFrame:
     """Stored rows that a second derivation doesn't give, repeated ones counted."""
-    return stored.exceptAll(derived)
+    keys = stored.columns
+    one = lambda df, n: df.toDF(*keys).select("*", F.lit(n).cast("long").alias("__n"))
+    left = spread(one(stored, 1).union(one(derived, -1)), *keys).groupBy(*keys).agg(F.sum("__n").alias("__n")).filter(F.col("__n") > 0)
+    return left.select(*keys, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")).select(*keys)
 
 
 def with_extensions(catalogue: DataFrame, extensions: DataFrame) -> DataFrame:

@@ -15,12 +15,20 @@ def edges(attributed: DataFrame) -> DataFrame:
     """(system, endpoint, class, categories, n_flows, n_sinks, declared, citation): data between systems and processors.
 
     attributed: (system, endpoint, class, category, flow, sink, declared, citation).
-    Flows and sinks of an edge are counted, since they grow with the data.
+    Flows and sinks of an edge are counted, since they grow with the data. A flow
+    has one sink, so flows are counted by sink and their numbers added up: two
+    distinct counts at once would make three rows of each.
     """
-    return attributed.groupBy("system", "endpoint", "class").agg(
-        F.array_sort(F.collect_set("category")).alias("categories"),
+    by_sink = attributed.groupBy("system", "endpoint", "class", "sink").agg(
+        F.collect_set("category").alias("categories"),
         F.count_distinct("flow").alias("n_flows"),
-        F.count_distinct("sink").alias("n_sinks"),
+        F.max("declared").alias("declared"),
+        F.min("citation").alias("citation"),
+    )
+    return by_sink.groupBy("system", "endpoint", "class").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("categories")))).alias("categories"),
+        F.sum("n_flows").alias("n_flows"),
+        F.count("sink").alias("n_sinks"),
         F.max("declared").alias("declared"),
         F.min("citation").alias("citation"),
     )

@@ -6,6 +6,8 @@ from collections import defaultdict
 from dataspoor.operators import graph as G
 from dataspoor.operators import handlers as H
 from dataspoor.operators import lookup as L
+from dataspoor.operators import revisions as V
+from dataspoor.operators import topology as T
 
 
 def final_plan(df):
@@ -59,3 +61,19 @@ def test_bind_by_hand(spark):
     got = L.bind(spark.createDataFrame(args, "site int, fn string, var string, kind string, pos int, name string"), spark.createDataFrame(formals, "fn string, formal string, kind string, pos int, name string"))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "RepartitionByExpression [site" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_not_derived_again(spark):
+    schema = "id string, n int"
+    stored, derived = [("a", 1), ("a", 1), ("a", None), ("b", None), ("c", 2)], [("a", 1), ("b", None), ("d", 4), ("c", 2), ("c", 2)]
+    got = V.not_rederived(spark.createDataFrame(stored, schema), spark.createDataFrame(derived, schema))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1), ("a", None)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Union")
+
+
+def test_counts_of_groups_make_one_row_of_each(spark):
+    rows = [("s", "e", "http", c, f"{s}{k}", s, d, None) for s, k, c, d in (("x", 1, "u", True), ("x", 2, "v", False), ("x", 2, "v", False), ("y", 1, None, False))]
+    edges = T.edges(spark.createDataFrame(rows, "system string, endpoint string, class string, category string, flow string, sink string, declared boolean, citation string"))
+    assert [tuple(r) for r in edges.collect()] == [("s", "e", "http", ["u", "v"], 3, 2, True, None)]
+    assert "Expand" not in edges._jdf.queryExecution().optimizedPlan().toString()
