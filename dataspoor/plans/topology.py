@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import lookup as L
 from ..operators import topology as T
+from ..operators.graph import spread
 from .registry import plan
 from .relations import flows, processors, sinks, sources, table, with_
 from .reports import DECLARED, PROCESSOR
@@ -80,11 +82,12 @@ def g6_subsumption(spark, sf):
     """Flows that aren't part of a longer one to the same sink: those passing the same source anchor.
 
     Membership is transitive here, so only the two longest of each anchor matter
-    and an aggregate does for the self-join.
+    and one window over flows that are dealt once does for the self-join.
     """
     f = flows(spark, sf).join(sources(spark, sf).select(F.col("id").alias("source"), (F.col("line") % 50).alias("anchor")), "source")
-    longest = f.groupBy("sink", "category", "anchor").agg(F.max("hops").alias("most"))
-    return f.join(longest, ["sink", "category", "anchor"]).filter("hops = most").select("id")
+    f = spread(f.select("id", "sink", "category", "anchor", "hops"), "sink", "category", "anchor")
+    most = F.max("hops").over(Window.partitionBy("sink", "category", "anchor"))
+    return f.withColumn("most", most).filter("hops = most").select("id")
 
 
 @plan(with_(f"SELECT a.id FROM ({_PATHS}) a WHERE NOT (a.category = 'unknown' AND EXISTS (SELECT 1 FROM ({_PATHS}) b WHERE b.sink = a.sink AND b.category <> 'unknown' AND b.line % 50 = a.line % 50))", "flows"))

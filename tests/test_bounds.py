@@ -8,6 +8,7 @@ from dataspoor.operators import handlers as H
 from dataspoor.operators import lookup as L
 from dataspoor.operators import revisions as V
 from dataspoor.operators import topology as T
+from dataspoor.plans import catalog
 
 
 def final_plan(df):
@@ -77,3 +78,8 @@ def test_counts_of_groups_make_one_row_of_each(spark):
     edges = T.edges(spark.createDataFrame(rows, "system string, endpoint string, class string, category string, flow string, sink string, declared boolean, citation string"))
     assert [tuple(r) for r in edges.collect()] == [("s", "e", "http", ["u", "v"], 3, 2, True, None)]
     assert "Expand" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_subsumption_reads_flows_once(spark):
+    plan = catalog.queries()["g6_subsumption"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3 and "Window" in plan
